@@ -66,6 +66,13 @@ def crc_mod(doc_id: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def likely_first(order: Column, wanted: int, total: int) -> Column:
+    """Keeps the rows whose 64-bit hash `order` is among the smallest 4 * wanted of total, in expectation, so that a
+    top-`wanted` that follows moves few rows however many tasks there are. True for all rows of a small table."""
+    share = 4 * wanted / max(1, total)
+    return F.lit(True) if share >= 1 else order < F.lit(int(-(1 << 63) + share * (1 << 64)))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, each with at most `limit` bytes of text or a single row."""
     if not batch.num_rows:

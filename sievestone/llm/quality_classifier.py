@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, span_hashes, text_buffer, text_slices, word_spans
+from .common import likely_first, mix, span_hashes, text_buffer, text_slices, word_spans
 
 FEATURES = 4096
 RANK = 64
@@ -77,10 +77,13 @@ def project(texts: pa.Array, model: Model) -> np.ndarray:
     return _unit(_weigh(counts(texts, len(model.idf)), model.idf) @ model.projection)
 
 
-def fit(labelled: DataFrame, per_label: int = PER_LABEL, features: int = FEATURES, rank: int = RANK) -> Model | None:
-    """From rows (doc_id, text, quality) with quality 0 or 1."""
-    rows = labelled.where(F.col("quality").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    parts = [rows.where(F.col("quality") == q).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "quality").orderBy("h", "doc_id", "text").limit(per_label) for q in (0, 1)]
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, features: int = FEATURES, rank: int = RANK) -> Model | None:
+    """From documents (doc_id, text) and labels (doc_id, quality) with quality 0 or 1; other labels are ignored."""
+    labels = labels.where(F.col("quality").isin(0, 1)).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("quality").cast("int").alias("quality"))
+    totals = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
+    parts = [labels.where((F.col("quality") == q) & likely_first(F.col("h"), per_label, totals.get(q, 0))).orderBy("h", "doc_id").limit(per_label) for q in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])  # at most 2 * per_label rows
+    rows = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "text", "quality")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +91,7 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL, features: int = FEATURE
                 raw = np.minimum(counts(part.column("text"), features), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality"), pa.array([r.tobytes() for r in raw], pa.binary())], ["h", "quality", "raw"])
 
-    got = parts[0].unionByName(parts[1]).mapInArrow(count, T.StructType.fromDDL("h long, quality int, raw binary")).collect()  # at most 2 * per_label rows of 2 * features bytes
+    got = rows.mapInArrow(count, T.StructType.fromDDL("h long, quality int, raw binary")).collect()  # at most 2 * per_label rows of 2 * features bytes
     if not got:
         return None
     got.sort(key=lambda r: (r["h"], bytes(r["raw"])))

@@ -24,7 +24,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_classifier.Model | None:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality_classifier.fit(docs.where(crc_mod("doc_id", 5) != 0).join(labels, "doc_id"))
+    return quality_classifier.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
