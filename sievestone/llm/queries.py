@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, quality_classifier, url_filter, warc
+from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, url_filter, warc
 from .common import crc_mod, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(crc_mod("doc_id", 3) != 1))
@@ -45,5 +49,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter)}
-ORACLES: dict[str, str] = {"op5_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter)}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op5_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
