@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, url_filter, warc
+from . import exact_dedup, language_id, packing, pieces, quality_classifier, quality_rules, url_filter, warc
 from .common import crc_mod, table
 
 
@@ -49,5 +49,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_language_id, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter, op10_sentencepiece)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op5_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
