@@ -169,11 +169,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(both) else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, folder: str, name: str) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose texts are at least so similar."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), folder, f"{name}-sets")
-    sides = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("cells").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("cells").alias("b")), "v")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, folder: str, name: str) -> DataFrame:
+    """The pairs (u, v) of doc_ids whose shingle sets are at least so similar."""
+    # Merged at any size, so that the plan's cost grows in proportion: sets are far too large to be sent to every executor.
+    sides = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("cells").alias("a")).hint("merge"), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("cells").alias("b")).hint("merge"), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,15 +190,14 @@ def _order(round_: int) -> Column:
     return F.when(band == 0, F.lit(at[0])).when(band == 1, F.lit(at[1])).when(band == 2, F.lit(at[2])).otherwise(F.lit(at[3]))
 
 
-def block_links(crowd: DataFrame, docs: DataFrame, words: int, similarity: float, folder: str, block: int) -> DataFrame:
+def block_links(crowd: DataFrame, sets: DataFrame, similarity: float, folder: str, block: int) -> DataFrame:
     """Links (u, v) within large buckets, from rows (band, rep, label, main, n): members of another class than `main`
     against all members of classes other than their own. Both sides are dealt in blocks, so a task holds two of them."""
-    sets = written(shingle_sets(docs.join(crowd.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words), folder, "crowd-sets")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "band"), blocks.cast("long")).cast("int")
     member = crowd.select("band", "rep", "label", own.alias("j"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(False).alias("outside"))
     outside = crowd.where("label <> main").select("band", "rep", "label", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("outside"))
-    dealt = member.unionByName(outside).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    dealt = member.unionByName(outside).join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -239,6 +237,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     crowded = written(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder, "crowded")
     entries = written(entries.join(crowded, "band"), folder, "entries")  # of buckets with company
     company = written(entries.groupBy("rep").agg(F.sum("n").alias("company")), folder, "company")
+    # The only time that texts move: once, those with company.
+    wanted = company.select(F.col("rep").alias("doc_id"))
+    sets = written(shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), words), folder, "sets")
     labels = tested = None
     for round_ in range(rounds + 1):
         members = entries.withColumn("label", F.col("rep"))
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             main = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", "size").alias("main"))
             main = written(main, folder, "main")
             members = written(members.join(main, "band"), folder, "last-members")
-            links = block_links(members.where(F.col("n") > small), docs, words, similarity, folder, block)
+            links = block_links(members.where(F.col("n") > small), sets, similarity, folder, block)
             few = members.where(F.col("n") <= small)
             outside = few.where("label <> main").select("band", F.col("rep").alias("u"), F.col("label").alias("mine"))
             pairs = outside.join(few.select("band", F.col("rep").alias("v"), "label"), "band").where((F.col("mine") != F.col("label")) & (F.col("u") != F.col("v")))
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, folder, f"pairs-{round_}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = verified(pairs, docs, words, similarity, folder, f"round-{round_}")
+        found = verified(pairs, sets, similarity, folder, f"round-{round_}")
         for more in (links, labels):
             found = found if more is None else found.unionByName(more)
         labels = components(found, folder, f"components-{round_}")
