@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import likely_first
+
 DICTIONARY_BYTES = 1 << 17
 TRAINING_TEXTS = 400
 MAX_LANGUAGES = 64
@@ -34,12 +36,12 @@ def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, texts: int
     """Dictionaries from rows (doc_id, text, lang): per language a sample of `texts` texts, the smallest by a hash of the
     id, of each an equal share of the dictionary. Sample and share are bounds of the model's size, not of what is judged."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    languages = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    languages = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     share = max(1, dictionary_bytes // texts)
     out = {}
     for lang in sorted(languages):
         sample = (
-            rows.where(F.col("lang") == lang)
+            rows.where((F.col("lang") == lang) & likely_first(F.xxhash64("doc_id"), texts, languages[lang]))
             .select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.substring("text", 1, 4 * share).alias("text"))
             .orderBy("h", "t")
             .limit(texts)
@@ -51,36 +53,57 @@ def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, texts: int
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
+def _judge(model: list[tuple[str, bytes]], level: int):
+    """A function from an Arrow column of texts to (language, score, lead) for each."""
+    import regex
+    import zstandard as zstd
+
+    letter = regex.compile(r"\p{L}")
+    coders = []
+    for lang, raw in model:
+        words = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=level)
+        coders.append((lang, zstd.ZstdCompressor(dict_data=words, write_content_size=False, write_dict_id=False)))
+
+    def judge(texts: pa.Array) -> list[tuple[str, float, float]]:
+        out = []
+        for text in texts:
+            text = text.as_py()
+            if not text or not coders or not letter.search(text):
+                out.append(("und", 0.0, 0.0))
+                continue
+            raw = text.encode("utf-8", "surrogatepass")
+            parts = [raw[k : k + PART_BYTES] for k in range(0, len(raw), PART_BYTES)]
+            sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in coders)
+            lead = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+            out.append((sizes[0][1], 1 / (1 + math.exp(-min(50.0, 60 * lead))), lead))
+        return out
+
+    return judge
+
+
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, level: int = LEVEL) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), margin, rejected for every row of docs (doc_id, text)."""
     model = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))  # at most MAX_LANGUAGES * DICTIONARY_BYTES
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        import zstandard as zstd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(model.value, level)
+        for batch in batches:
+            found = judge(batch.column("text"))
+            langs, scores, leads = zip(*found, strict=True) if found else ((), (), ())
+            rejected = [x < margin or k == "und" for k, _, x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "margin", "rejected"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType.fromDDL("doc_id long, lang_pred string, score double, margin double, rejected boolean"))
+
 
-        letter = regex.compile(r"\p{L}")
-        coders = []
-        for lang, raw in model.value:
-            words = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=level)
-            coders.append((lang, zstd.ZstdCompressor(dict_data=words, write_content_size=False, write_dict_id=False)))
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, level: int = LEVEL) -> DataFrame:
+    """The rows of docs whose language isn't rejected, with all their columns; nothing is joined or shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(model.value, level)
         for batch in batches:
-            langs, scores, leads = [], [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                if not text or not coders or not letter.search(text):
-                    langs.append("und"), scores.append(0.0), leads.append(0.0)
-                    continue
-                raw = text.encode("utf-8", "surrogatepass")
-                parts = [raw[k : k + PART_BYTES] for k in range(0, len(raw), PART_BYTES)]
-                sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in coders)
-                lead = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
-                langs.append(sizes[0][1]), leads.append(lead)
-                scores.append(1 / (1 + math.exp(-min(50.0, 60 * lead))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64()), pa.array([x < margin or k == "und" for x, k in zip(leads, langs, strict=True)])],
-                ["doc_id", "lang_pred", "score", "margin", "rejected"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(judge, T.StructType.fromDDL("doc_id long, lang_pred string, score double, margin double, rejected boolean"))
+            yield batch.filter(pa.array([k != "und" and x >= margin for k, _, x in judge(batch.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -127,16 +127,36 @@ def vote(vectors: np.ndarray, model: Model, neighbours: int = NEIGHBOURS, temper
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def _scores(texts: pa.Array, model: Model | None) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    return np.clip(vote(project(texts, model), model), 0.0, 1.0)
+
+
+def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for part in text_slices(batch, limit=1 << 20):
+        for at in range(0, part.num_rows, 512):
+            yield part.slice(at, 512)
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for every row of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, fixed by features, rank and per_label
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, limit=1 << 20):
-                for at in range(0, part.num_rows, 512):
-                    few = part.slice(at, 512)
-                    s = vote(project(few.column("text"), sent.value), sent.value) if sent.value else np.full(few.num_rows, 0.5)
-                    yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(np.clip(s, 0.0, 1.0), pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
+        for few in (x for batch in batches for x in _few(batch)):
+            s = _scores(few.column("text"), sent.value)
+            yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, T.StructType.fromDDL("doc_id long, score double, predicted int"))
+
+
+def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score of at least threshold, with all their columns; nothing is joined or shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in (x for batch in batches for x in _few(batch)):
+            yield few.filter(pa.array(_scores(few.column("text"), sent.value) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -29,15 +29,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> quality_classifier.Model | None:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality_classifier.Model | None:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality_classifier.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return quality_classifier.fit(docs.select("doc_id", "text"), labels.where(crc_mod("doc_id", 5) != 0))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality_classifier.score(docs, quality_model(spark, sf_dir))
+    scored = quality_classifier.score(docs, quality_model(spark, sf_dir, docs))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 

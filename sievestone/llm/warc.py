@@ -227,6 +227,8 @@ def archive_round_trip(pages: DataFrame, least: int = LEAST, folder: str | None
     folder = folder or work_folder(spark)
     write_archives(with_revisits(pages, folder, least), f"{folder}/monolithic")
     normalise(spark, f"{folder}/monolithic", f"{folder}/normalised")
+    monolithic = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/monolithic")
+    monolithic.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(monolithic, True)
     index = written(index_archives(spark, f"{folder}/normalised"), folder, "index")
     got = read_records(spark, f"{folder}/normalised", index, with_payload)
     return got.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"), *["payload"] * with_payload)
