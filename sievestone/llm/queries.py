@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, pieces, quality_classifier, quality_rules, url_filter, warc
+from . import exact_dedup, language_id, near_dedup, ngram_lm, packing, pieces, quality_classifier, quality_rules, url_filter, warc
 from .common import crc_mod, table
 
 
@@ -25,6 +25,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.language_model_scores(docs, crc_mod("doc_id", 7) != 2)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -56,5 +61,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_language_id, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_language_id, op4_lm_scoring, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter, op10_sentencepiece)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op5_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
