@@ -81,15 +81,16 @@ class EliasFano:
         begin = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), 0) - bucket + 1, 0)
         end = np.where(bucket < self.top, self._select(np.minimum(bucket, self.top - 1), 0) - bucket, self.n)
         at = begin if start is None else np.maximum(begin, start)
-        todo = np.flatnonzero(at < end)
-        equal = np.zeros(len(x), bool)
-        while len(todo):
-            low = self._low(at[todo])
-            equal[todo] = low == want[todo]
-            less = low < want[todo]
-            at[todo[less]] += 1
-            todo = todo[less]
-            todo = todo[at[todo] < end[todo]]
+        limit = end.copy()
+        todo = np.flatnonzero(at < limit)
+        while len(todo):  # by halves: a context with many children crowds few buckets
+            middle = (at[todo] + limit[todo]) >> 1
+            less = self._low(middle) < want[todo]
+            at[todo[less]] = middle[less] + 1
+            limit[todo[~less]] = middle[~less]
+            todo = todo[at[todo] < limit[todo]]
+        equal = at < end
+        equal[equal] = self._low(at[equal]) == want[equal]
         return at, equal
 
 
