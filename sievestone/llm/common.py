@@ -128,7 +128,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
+        size = max(n + n // 8, 1 << 16)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

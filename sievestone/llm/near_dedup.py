@@ -35,6 +35,7 @@ from .components import components
 
 WORDS = 5
 SIMILARITY = 0.8
+SLICE = 1 << 19
 BANDS, ROWS = 24, 5
 ROUNDS = 1
 #: Buckets of more members are compared in blocks of so many.
@@ -131,7 +132,7 @@ def signatures(docs: DataFrame, words: int, bands: int, per: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=2 << 20):
+            for part in text_slices(batch, limit=SLICE):
                 n = part.num_rows
                 rows, hashes, counts = shingles(*text_buffer(part.column("text")), words)
                 rows, cells, cover = unit_cells(rows, hashes, counts.astype(float))
@@ -151,7 +152,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=2 << 20):
+            for part in text_slices(batch, limit=SLICE):
                 rows, hashes, counts = shingles(*text_buffer(part.column("text")), words)
                 rows, cells, _ = unit_cells(rows, hashes, counts.astype(float))
                 bounds, cells = row_bounds(rows, part.num_rows), (cells >> np.uint64(32)).astype("<u4")
