@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import frugal, text_slices
 
 LENGTH = 1024
 SEGMENTS = 64
@@ -72,7 +72,7 @@ class Pool:
                         at = -1
                 if at < 0:
                     break
-                lost = min(n, int(self.sizes[at, 1]))
+                lost = int(self.sizes[at, 1]) if n == self.sizes[at, 0] else min(n, int(self.sizes[at, 1]))
                 taken.append((self.keys[at], n))
                 tokens, segments, loss = tokens - n, segments - 1, loss - lost
                 self.sizes[at] -= (n, lost)
@@ -117,7 +117,7 @@ def pack_examples(examples: DataFrame, tokens: int = LENGTH, segments: int = SEG
                 yield from flush(pool // 2)
         yield from flush(0)
 
-    return examples.select("example_id", "n_tokens", "n_loss").mapInArrow(pack, T.StructType.fromDDL("example_id long, n_tokens long, n_loss long, sequence_id long, offset long"))
+    return examples.select("example_id", "n_tokens", "n_loss").mapInArrow(frugal(pack), T.StructType.fromDDL("example_id long, n_tokens long, n_loss long, sequence_id long, offset long"))
 
 
 def tokenizer_path(name: str) -> str:
@@ -206,4 +206,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
         yield from out()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, T.StructType.fromDDL(schema))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(pack), T.StructType.fromDDL(schema))
