@@ -66,6 +66,22 @@ def crc_mod(doc_id: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def frugal(work):
+    """A mapInArrow function that gives its memory back to the system when its task ends: Spark keeps idle workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def likely_first(order: Column, wanted: int, total: int) -> Column:
     """Keeps the rows whose 64-bit hash `order` is among the smallest 4 * wanted of total, in expectation, so that a
     top-`wanted` that follows moves few rows however many tasks there are. True for all rows of a small table."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_buffer, text_slices, work_folder, written
+from .common import frugal, text_buffer, text_slices, work_folder, written
 
 BITS = 48
 ROWS_PER_OWNER = 1 << 18
@@ -141,11 +141,11 @@ def exact_dedup(docs: DataFrame, bits: int = BITS, rows_per_owner: int = ROWS_PE
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     owners = max(LEAST_OWNERS, -(-docs.count() // rows_per_owner))
     owner_bits = max(1, (owners - 1).bit_length())
-    sent = written(docs.mapInArrow(_send(min(bits, 64 - owner_bits), owner_bits), T.StructType.fromDDL(_SENT)), folder, "sent", by="kind")
+    sent = written(docs.mapInArrow(frugal(_send(min(bits, 64 - owner_bits), owner_bits)), T.StructType.fromDDL(_SENT)), folder, "sent", by="kind")
     codes = sent.where("kind = 'code'").select("owner", "block", "n", "k", "unary", "rest", "twice")
-    bitmaps = codes.repartition(1 << owner_bits, "owner").sortWithinPartitions("owner").mapInArrow(_own, T.StructType.fromDDL("owner int, block string, bitmap binary"))
+    bitmaps = codes.repartition(1 << owner_bits, "owner").sortWithinPartitions("owner").mapInArrow(frugal(_own), T.StructType.fromDDL("owner int, block string, bitmap binary"))
     ledger = sent.where("kind = 'ledger'").select("owner", "block", "n", "ids", "slots", "nulls")
-    suspects = written(ledger.join(bitmaps, ["owner", "block"]).mapInArrow(_suspects, T.StructType.fromDDL("doc_id long")).distinct(), folder, "suspects")
+    suspects = written(ledger.join(bitmaps, ["owner", "block"]).mapInArrow(frugal(_suspects), T.StructType.fromDDL("doc_id long")).distinct(), folder, "suspects")
     texts = docs.alias("d").join(suspects.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
     same = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = written(same.select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"), folder, "groups")

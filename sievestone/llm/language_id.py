@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import likely_first
+from .common import frugal, likely_first
 
 DICTIONARY_BYTES = 1 << 17
 TRAINING_TEXTS = 400
@@ -94,7 +94,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             rejected = [x < margin or k == "und" for k, _, x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType.fromDDL("doc_id long, lang_pred string, score double, margin double, rejected boolean"))
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), T.StructType.fromDDL("doc_id long, lang_pred string, score double, margin double, rejected boolean"))
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, level: int = LEVEL) -> DataFrame:
@@ -106,4 +106,4 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
         for batch in batches:
             yield batch.filter(pa.array([k != "und" and x >= margin for k, _, x in judge(batch.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
+from .common import frugal, mix, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
 from .components import components
 
 WORDS = 5
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, words: int, bands: int, per: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(g1, mask=none), pa.array(g2, mask=none), lists], ["doc_id", "g1", "g2", "bands"])
 
-    return docs.mapInArrow(sign, T.StructType.fromDDL("doc_id long, g1 long, g2 long, bands array<long>"))
+    return docs.mapInArrow(frugal(sign), T.StructType.fromDDL("doc_id long, g1 long, g2 long, bands array<long>"))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -159,7 +159,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = [np.sort(cells[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "cells"])
 
-    return docs.mapInArrow(cut, T.StructType.fromDDL("doc_id long, cells binary"))
+    return docs.mapInArrow(frugal(cut), T.StructType.fromDDL("doc_id long, cells binary"))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -181,7 +181,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, folder: str,
             kept = [jaccard(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) >= similarity for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return written(sides.select("u", "v", "a", "b").mapInArrow(compare, T.StructType.fromDDL("u long, v long")).distinct(), folder, f"{name}-edges")
+    return written(sides.select("u", "v", "a", "b").mapInArrow(frugal(compare), T.StructType.fromDDL("u long, v long")).distinct(), folder, f"{name}-edges")
 
 
 def _order(round_: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
+from .common import frugal, lower_ascii, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
 from .elias_fano import CHILD_BITS, EliasFano, Trie
 
 BLOCK_BYTES = 4 << 20
@@ -277,12 +277,12 @@ def language_model_scores(docs: DataFrame, train: Column, mass: float = MASS, sh
     if shard_bits is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shard_bits = max(LEAST_SHARD_BITS, (-(-size // SHARD_BYTES) - 1).bit_length())
-    asked = docs.mapInArrow(_ask(shard_bits), T.StructType.fromDDL(_ASK))
+    asked = docs.mapInArrow(frugal(_ask(shard_bits)), T.StructType.fromDDL(_ASK))
     dealt = asked.repartition(2 << shard_bits, "shard").sortWithinPartitions("shard")
-    answers = written(dealt.mapInArrow(_answer(shard_bits), T.StructType.fromDDL(_ANSWER)), folder, "answers")
+    answers = written(dealt.mapInArrow(frugal(_answer(shard_bits)), T.StructType.fromDDL(_ANSWER)), folder, "answers")
     total, distinct = answers.where("kind = 'total'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    tokens = docs.mapInArrow(_tokens(shard_bits), T.StructType.fromDDL(_TOKENS)).withColumn("counts", F.lit(None).cast("binary"))
+    tokens = docs.mapInArrow(frugal(_tokens(shard_bits)), T.StructType.fromDDL(_TOKENS)).withColumn("counts", F.lit(None).cast("binary"))
     both = tokens.unionByName(answers.where("kind = 'answer'").select("block", "shard", "counts"), allowMissingColumns=True)
     met = both.repartition(1 << shard_bits, "block").sortWithinPartitions("block", "shard")
-    scored = met.mapInArrow(_score(shard_bits, int(total), int(distinct), mass), T.StructType.fromDDL(_SCORE))
+    scored = met.mapInArrow(frugal(_score(shard_bits, int(total), int(distinct), mass)), T.StructType.fromDDL(_SCORE))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

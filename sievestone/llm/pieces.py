@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import frugal, text_slices
 
 SPACE = "▁"
 SLICE = 4 << 20
@@ -248,7 +248,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *["ids"] * with_ids, "n_ids", "ids_crc32", "round_trip"])
 
     schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_ids long, ids_crc32 long, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, T.StructType.fromDDL(schema))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(encode), T.StructType.fromDDL(schema))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -261,4 +261,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if ids is None else own.decode(np.array(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decode, T.StructType.fromDDL("doc_id long, text string"))
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(frugal(decode), T.StructType.fromDDL("doc_id long, text string"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import likely_first, mix, span_hashes, text_buffer, text_slices, word_spans
+from .common import frugal, likely_first, mix, span_hashes, text_buffer, text_slices, word_spans
 
 FEATURES = 4096
 RANK = 64
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, features
                 raw = np.minimum(counts(part.column("text"), features), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality"), pa.array([r.tobytes() for r in raw], pa.binary())], ["h", "quality", "raw"])
 
-    got = rows.mapInArrow(count, T.StructType.fromDDL("h long, quality int, raw binary")).collect()  # at most 2 * per_label rows of 2 * features bytes
+    got = rows.mapInArrow(frugal(count), T.StructType.fromDDL("h long, quality int, raw binary")).collect()  # at most 2 * per_label rows of 2 * features bytes
     if not got:
         return None
     got.sort(key=lambda r: (r["h"], bytes(r["raw"])))
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
             s = _scores(few.column("text"), sent.value)
             yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, T.StructType.fromDDL("doc_id long, score double, predicted int"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(judge), T.StructType.fromDDL("doc_id long, score double, predicted int"))
 
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,4 +159,4 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
         for few in (x for batch in batches for x in _few(batch)):
             yield few.filter(pa.array(_scores(few.column("text"), sent.value) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)

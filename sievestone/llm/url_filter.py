@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import span_hashes, text_buffer, text_slices
+from .common import frugal, span_hashes, text_buffer, text_slices
 
 #: (host/path, verdict)
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -122,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled:
                     p[(np.array(part.column("host").to_pylist()) == "") & (np.array(part.column("path").to_pylist()) == "")] = bias
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], ["page_id", "host", "path", "score"])
 
-    judged = split.mapInArrow(score, T.StructType.fromDDL("page_id long, host string, path string, score double"))
+    judged = split.mapInArrow(frugal(score), T.StructType.fromDDL("page_id long, host string, path string, score double"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score")

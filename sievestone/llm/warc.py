@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import work_folder, written
+from .common import frugal, work_folder, written
 
 LEAST = 100
 RECORDS_PER_FILE = 4000
@@ -138,7 +138,7 @@ def normalise(spark: SparkSession, path: str, to: str) -> None:
                     yield _members(archive, seq, parts)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    members = files.mapInArrow(rewrite, T.StructType.fromDDL("archive string, seq long, member binary"))
+    members = files.mapInArrow(frugal(rewrite), T.StructType.fromDDL("archive string, seq long, member binary"))
     members.sortWithinPartitions("archive", "seq").select("archive", F.col("member").cast("string").alias("member")).write.partitionBy("archive").option("lineSep", "\x00").option("compression", "none").text(to)
 
 
@@ -173,7 +173,7 @@ def index_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    return files.mapInArrow(scan, T.StructType.fromDDL(_INDEX))
+    return files.mapInArrow(frugal(scan), T.StructType.fromDDL(_INDEX))
 
 
 _RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -207,7 +207,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, with_payload:
 
     spans = index.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))  # an archive has a bounded number of records
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    return files.join(spans, "path").select("content", "spans").mapInArrow(read, T.StructType.fromDDL(_RECORD))
+    return files.join(spans, "path").select("content", "spans").mapInArrow(frugal(read), T.StructType.fromDDL(_RECORD))
 
 
 def _records(rows: list) -> pa.RecordBatch:
