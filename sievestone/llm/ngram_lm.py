@@ -12,7 +12,8 @@ memory-mapped files) and answers by successor search. Answers and the blocks' to
 with the context of a text's first token being its begin, which counts as often as ends do. The number of shards follows
 the corpus, so a shard's share stays the same; nothing but N and V reaches the driver.
 
-Order 2 is a choice: in the corpora at hand five of six trigrams occur once, and a level of them would double the cost.
+Order 2 is a choice: in the corpora at hand distinct trigrams number 83 % of the tokens (distinct pairs 65 %), so a level of
+them would cost more than all the rest.
 
 Blocks are named by a digest of their content, so a block that is computed again meets its answers, whatever executor
 does it. Defined results: null texts are empty, an empty text is one end token. Words are 64-bit hashes, children 40-bit
@@ -154,7 +155,7 @@ def _answer(shard_bits: int):
         got[equal] = total[at[equal]]
         rows, a = [], 0
         for r, x in zip(held, asked, strict=True):
-            rows.append(("answer", shard, r[1], _pack(got[a : a + len(x)].astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")), None, None))
+            rows.append(("answer", shard, r[1], _pack(got[a : a + len(x)].astype("<u8")), None, None))
             a += len(x)
         return batch_of([*rows, ("total", shard, None, None, int(total.sum()), len(known))])
 
@@ -229,7 +230,7 @@ def _score(shard_bits: int, total: int, distinct: int, mass: float):
         if not heads or not answers:
             raise ValueError("a block's tokens and answers didn't meet: the input changed while it was read")
         s = 1 << shard_bits
-        counts = np.concatenate([_unpack(answers[k], "<u4") for k in sorted(answers) if k < s])
+        counts = np.concatenate([_unpack(answers[k], "<u8").astype(np.int64) for k in sorted(answers) if k < s])
         pairs = np.concatenate([_unpack(answers[k], "<f4") for k in sorted(answers) if k >= s])
         out = []
         for head in heads:
