@@ -39,7 +39,7 @@ def with_revisits(pages: DataFrame, folder: str, least: int = LEAST) -> DataFram
     pages = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html").cast("long"))
     firsts = pages.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     firsts = written(firsts, folder, "firsts")
-    return pages.join(firsts, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    return pages.join(firsts, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first")
 
 
 def records(pages: DataFrame) -> DataFrame:
