@@ -7,7 +7,7 @@ Every text of the corpus is projected, its cosines with all labelled vectors are
 labels of the `neighbours` nearest vote with weight exp(similarity / temperature).
 
 Defined results: null and empty texts have the zero vector, so all cosines are 0 and all labelled vectors vote alike.
-Equal similarities go to the earlier labelled row. Without labelled rows every score is 0.5. Whole texts count, whatever
+Equal similarities go to the earlier labelled row. Rows that repeat a labelled id count once. Without labelled rows every score is 0.5. Whole texts count, whatever
 their length. Rows repeat as they come; an empty table gives an empty result; columns other than doc_id and text are
 ignored.
 """
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, features
     labels = labels.where(F.col("quality").isin(0, 1)).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("quality").cast("int").alias("quality"))
     totals = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     parts = [labels.where((F.col("quality") == q) & likely_first(F.col("h"), per_label, totals.get(q, 0))).orderBy("h", "doc_id").limit(per_label) for q in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])  # at most 2 * per_label rows
+    chosen = parts[0].unionByName(parts[1]).distinct()  # at most 2 * per_label rows
     rows = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "text", "quality")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, features
                 raw = np.minimum(counts(part.column("text"), features), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality"), pa.array([r.tobytes() for r in raw], pa.binary())], ["h", "quality", "raw"])
 
-    got = rows.mapInArrow(frugal(count), T.StructType.fromDDL("h long, quality int, raw binary")).collect()  # at most 2 * per_label rows of 2 * features bytes
+    counted = rows.mapInArrow(frugal(count), T.StructType.fromDDL("h long, quality int, raw binary"))
+    # An id that many rows repeat is one labelled row, so that what is collected keeps its bound.
+    got = counted.groupBy("h", "quality").agg(F.min("raw").alias("raw")).collect()  # at most 2 * per_label rows of 2 * features bytes
     if not got:
         return None
     got.sort(key=lambda r: (r["h"], bytes(r["raw"])))
