@@ -29,6 +29,8 @@ from .common import frugal, text_slices
 
 SPACE = "▁"
 SLICE = 4 << 20
+#: Known pairs are forgotten beyond so many.
+PAIRS = 1 << 20
 _coders: dict[str, PieceCoder] = {}
 
 
@@ -71,6 +73,8 @@ class PieceCoder:
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks in a row, and each chunk's offset in them."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         text = "\0".join(chunks) + "\0"
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         alphabet, symbols = np.unique(codes, return_inverse=True)
