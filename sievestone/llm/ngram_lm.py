@@ -38,6 +38,8 @@ from .elias_fano import CHILD_BITS, EliasFano, Trie
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARD_BITS = 6
+#: Beyond so many shuffle partitions, one works through several shards in turn.
+MOST_PARTITIONS = 1 << 16
 MASS = 8.0
 END, BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 
@@ -279,11 +281,11 @@ def language_model_scores(docs: DataFrame, train: Column, mass: float = MASS, sh
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shard_bits = max(LEAST_SHARD_BITS, (-(-size // SHARD_BYTES) - 1).bit_length())
     asked = docs.mapInArrow(frugal(_ask(shard_bits)), T.StructType.fromDDL(_ASK))
-    dealt = asked.repartition(2 << shard_bits, "shard").sortWithinPartitions("shard")
+    dealt = asked.repartition(min(2 << shard_bits, MOST_PARTITIONS), "shard").sortWithinPartitions("shard")
     answers = written(dealt.mapInArrow(frugal(_answer(shard_bits)), T.StructType.fromDDL(_ANSWER)), folder, "answers")
     total, distinct = answers.where("kind = 'total'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens = docs.mapInArrow(frugal(_tokens(shard_bits)), T.StructType.fromDDL(_TOKENS)).withColumn("counts", F.lit(None).cast("binary"))
     both = tokens.unionByName(answers.where("kind = 'answer'").select("block", "shard", "counts"), allowMissingColumns=True)
-    met = both.repartition(1 << shard_bits, "block").sortWithinPartitions("block", "shard")
+    met = both.repartition(min(1 << shard_bits, MOST_PARTITIONS), "block").sortWithinPartitions("block", "shard")
     scored = met.mapInArrow(frugal(_score(shard_bits, int(total), int(distinct), mass)), T.StructType.fromDDL(_SCORE))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
