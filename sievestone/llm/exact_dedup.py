@@ -30,6 +30,8 @@ from .common import frugal, text_buffer, text_slices, work_folder, written
 BITS = 48
 ROWS_PER_OWNER = 1 << 18
 LEAST_OWNERS = 64
+#: Beyond so many shuffle partitions, one works through several owners in turn.
+MOST_PARTITIONS = 1 << 16
 
 
 def rice_encode(values: np.ndarray, bits: int) -> tuple[int, bytes, bytes]:
@@ -143,7 +145,7 @@ def exact_dedup(docs: DataFrame, bits: int = BITS, rows_per_owner: int = ROWS_PE
     owner_bits = max(1, (owners - 1).bit_length())
     sent = written(docs.mapInArrow(frugal(_send(min(bits, 64 - owner_bits), owner_bits)), T.StructType.fromDDL(_SENT)), folder, "sent", by="kind")
     codes = sent.where("kind = 'code'").select("owner", "block", "n", "k", "unary", "rest", "twice")
-    bitmaps = codes.repartition(1 << owner_bits, "owner").sortWithinPartitions("owner").mapInArrow(frugal(_own), T.StructType.fromDDL("owner int, block string, bitmap binary"))
+    bitmaps = codes.repartition(min(1 << owner_bits, MOST_PARTITIONS), "owner").sortWithinPartitions("owner").mapInArrow(frugal(_own), T.StructType.fromDDL("owner int, block string, bitmap binary"))
     ledger = sent.where("kind = 'ledger'").select("owner", "block", "n", "ids", "slots", "nulls")
     suspects = written(ledger.join(bitmaps, ["owner", "block"]).mapInArrow(frugal(_suspects), T.StructType.fromDDL("doc_id long")).distinct(), folder, "suspects")
     texts = docs.alias("d").join(suspects.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
