@@ -223,7 +223,7 @@ def test_elias_fano(n, bits):
 # 5 WARC
 def test_warc_round_trip(spark):
     big = "".join(random.Random(6).choice("abcdefghij") for _ in range(1 << 16)) * 300  # above 16 MiB
-    pages = [(1, "http://a.test/ x\r\ny", "p" * 99), (2, "http://b.test", "p" * 99), (3, None, "q" * 100), (4, "u", "q" * 100), (5, "u", None), (6, "u", ""), (7, "http://é.test", "é" * 60 + "\r\n\r\nWARC/1.1\r\n\r\n"), (9, "u", big), (8, "u", "é" * 60 + "\r\n\r\nWARC/1.1\r\n\r\n"), (3, None, "q" * 100), (None, "u", "without id"), (10, "u", "\0\x01 nul")]
+    pages = [(1, "http://a.test/ x\r\ny", "p" * 99), (2, "http://b.test", "p" * 99), (3, None, "q" * 100), (4, "u", "q" * 100), (5, "u", None), (6, "u", ""), (7, "http://é.test", "é" * 60 + "\r\n\r\nWARC/1.1\r\n\r\n"), (9, "u", big), (8, "u", "é" * 60 + "\r\n\r\nWARC/1.1\r\n\r\n"), (3, None, "q" * 100), (None, "u", "without id"), (None, "u", "q" * 100), (10, "u", "\0\x01 nul")]
     df = spark.createDataFrame([(*p, "clash", "x") for p in pages], "page_id long, url string, html string, digest string, size string").repartition(3)
     folder = work_folder(spark)
     got = warc.archive_round_trip(df, folder=folder, with_payload=True).collect()
@@ -233,7 +233,7 @@ def test_warc_round_trip(spark):
         first = min((j for j, _, h in pages if h == html and j is not None), default=None)
         revisit = len(raw) >= 100 and i is not None and i > first
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None, None if revisit else raw))
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got), key=key) == sorted(want, key=key)
     import gzip
     from pathlib import Path
@@ -257,6 +257,9 @@ def test_quality_classifier(spark, edge, empty):
     assert {r.score for r in quality_classifier.score(edge, None).collect()} == {0.5}
     assert quality_classifier.score(empty, model).count() == 0
     assert quality_classifier.accepted(edge, model).columns == edge.columns
+    repeated = spark.createDataFrame([(1, f"text number {i} of one id") for i in range(500)] + [(2, "another one")] * 500, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    assert len(quality_classifier.fit(repeated, marks).labels) == 2
 
 
 def test_votes_are_exact():
@@ -384,3 +387,13 @@ def test_pieces(spark, edge, empty):
     for r in pieces.decode_documents(encoded).where("doc_id is not null").collect():
         assert r.text == (texts[r.doc_id][0] or "").replace("▁", " ")
     assert pieces.encode_documents(empty).count() == 0
+
+
+def test_pieces_forget_pairs(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdehilnorst") for _ in range(9)) for _ in range(40)) for _ in range(6)]
+    own = pieces.PieceCoder(pieces.model_path())
+    want = [own.encode([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(pieces, "PAIRS", 50)
+    own = pieces.PieceCoder(pieces.model_path())
+    assert [own.encode([t])[0].tolist() for t in texts] == want
