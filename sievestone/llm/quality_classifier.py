@@ -33,6 +33,8 @@ TEMPERATURE = 0.1
 #: Weight of the term for repeated words, one against thousands of trigrams.
 REPEATS = 8.0
 THRESHOLD = 0.3
+#: Texts are counted in parts of so many bytes and rows, which bounds a worker's memory.
+PART_BYTES, PART_ROWS = 1 << 18, 128
 
 
 class Model(NamedTuple):
@@ -87,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, features
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, limit=1 << 19):
+            for part in _few(batch):
                 raw = np.minimum(counts(part.column("text"), features), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality"), pa.array([r.tobytes() for r in raw], pa.binary())], ["h", "quality", "raw"])
 
@@ -136,9 +138,9 @@ def _scores(texts: pa.Array, model: Model | None) -> np.ndarray:
 
 
 def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batch, limit=1 << 20):
-        for at in range(0, part.num_rows, 512):
-            yield part.slice(at, 512)
+    for part in text_slices(batch, limit=PART_BYTES):
+        for at in range(0, part.num_rows, PART_ROWS):
+            yield part.slice(at, PART_ROWS)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
