@@ -1,7 +1,8 @@
 """Exact k-nearest-neighbour and range search.
 
-Queries are a stated set against all items. Each plan scans the items once for all queries of a batch: a batch is collected
-under a size check and sent with the plan, or, where it is larger, joined block by block. Ties go to the smaller id.
+Queries are a stated set against all items. Up to a batch of queries, counted first, are sent to every executor, and the
+items are scanned once for all of them without a shuffle; more queries are dealt in blocks that meet shares of the items.
+Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -17,15 +18,42 @@ from pyspark.sql import types as T
 from ..functions.distance import METRICS
 
 BATCH = 4096
+#: The shares that items are dealt in where queries are dealt in blocks, and the most items of a share held in memory.
+PARTS, SHARE = 256, 1 << 16
+#: Items that one matrix product takes.
+STEP = 1024
+_FOUND = pa.schema([("qid", pa.int64()), ("vid", pa.int64()), ("d", pa.float64())])
+
+
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def _dealt(queries: DataFrame, items: DataFrame, key: str, batch: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Queries in blocks of about a batch, once for each share of the items; items in shares, once for each block."""
+    blocks = -(-queries.count() // batch)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_part", every(parts))
+    return q, items.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).withColumn("_block", every(blocks))
+
+
+def _few(queries: DataFrame, batch: int) -> bool:
+    return queries.select("qid").limit(batch + 1).count() <= batch
+
+
+def paired(queries: DataFrame, items: DataFrame, condition: Column, key: str = "vid", batch: int = BATCH) -> DataFrame:
+    """The columns of both for every query (qid, ...) and item (`key`, ...) that satisfy the condition. No pair is lost at
+    any number of queries, and at most a batch of them is sent to executors."""
+    if _few(queries, batch):
+        return items.join(F.broadcast(queries), condition)
+    q, i = _dealt(queries, items, key, batch, PARTS)
+    return i.join(q.hint("merge"), ["_block", "_part"]).where(condition).drop("_block", "_part")
 
 
 def candidates(queries: DataFrame, items: DataFrame, distance: Column, exclude_self: bool = True, batch: int = BATCH) -> DataFrame:
-    """(qid, vid, d) for every query and item; `distance` is an expression over qv and v. At most `batch` queries are sent
-    to every executor; a larger set raises, and is for the caller to split (see campaign)."""
-    few = queries.limit(batch + 1)
-    if few.count() > batch:
-        raise ValueError(f"more than {batch} queries in one batch")
-    pairs = items.join(F.broadcast(few), F.col("qid") != F.col("vid") if exclude_self else F.lit(True))
+    """(qid, vid, d) for every query and item; `distance` is an expression over qv and v."""
+    pairs = paired(queries, items, F.col("qid") != F.col("vid") if exclude_self else F.lit(True), batch=batch)
     return pairs.select("qid", "vid", distance.alias("d"))
 
 
@@ -49,10 +77,37 @@ def range_search(queries: DataFrame, items: DataFrame, radius: float, metric: st
 
 def knn_matrix(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True, batch: int = BATCH) -> DataFrame:
     """L2 neighbours by matrix multiplication: each batch of items meets the query matrix at once, and only its own k nearest
-    leave the task; distances of those are then exact differences, so ids equal those of knn()."""
-    rows = queries.where("qv is not null").limit(batch + 1).collect()
-    if len(rows) > batch:
-        raise ValueError(f"more than {batch} queries in one batch")
+    leave the task; distances of those are then exact differences, so ids equal those of knn(). More queries than a batch
+    meet the items block by block."""
+    queries, items = queries.where("qv is not null").select("qid", "qv"), items.where("v is not null").select("vid", "v")
+    schema = T.StructType.fromDDL("qid bigint, vid bigint, d double")
+
+    def nearest(qids: np.ndarray, q: np.ndarray, part: pa.RecordBatch | pa.Table) -> list[pa.Array]:
+        vids = part.column("vid").to_numpy(zero_copy_only=False) if isinstance(part, pa.RecordBatch) else part.column("vid").to_numpy()
+        if not len(vids) or not len(qids):
+            return [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+        v = _matrix(part.column("v"))
+        near = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
+        if exclude_self:
+            near[qids[:, None] == vids[None, :]] = np.inf
+        # A margin covers the rounding of the expanded square; the exact order is settled below.
+        best = np.partition(near, min(k, len(vids)) - 1, axis=1)[:, min(k, len(vids)) - 1]
+        a, b = np.nonzero(near <= best[:, None] + 1e-9)
+        kept = np.isfinite(near[a, b])
+        a, b = a[kept], b[kept]
+        return [pa.array(qids[a]), pa.array(vids[b]), pa.array(np.sqrt(((q[a] - v[b]) ** 2).sum(1)))]
+
+    if not _few(queries, batch):
+        dealt, spread = _dealt(queries, items, "vid", batch, max(PARTS, -(-items.count() // SHARE)))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            qids, q = left.column("qid").to_numpy(), _matrix(left.column("qv"))
+            found = [nearest(qids, q, right.slice(at, STEP)) for at in range(0, right.num_rows, STEP)] if left.num_rows else []
+            return pa.concat_tables([pa.table(x, schema=_FOUND) for x in found]) if found else _FOUND.empty_table()
+
+        key = ["_block", "_part"]
+        return rank_nearest(dealt.groupBy(key).cogroup(spread.groupBy(key)).applyInArrow(meet, schema), k)
+    rows = queries.collect()  # at most a batch
     ids = np.array([r["qid"] for r in rows], np.int64)
     matrix = np.array([r["qv"] for r in rows], np.float64)
     sent = items.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -60,23 +115,10 @@ def knn_matrix(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = sent.value
         for part in batches:
-            vids = part.column("vid").to_numpy(zero_copy_only=False)
-            if not len(vids) or not len(qids):
-                continue
-            v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vids), -1)
-            near = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-            if exclude_self:
-                near[qids[:, None] == vids[None, :]] = np.inf
-            # A margin covers the rounding of the expanded square; the exact order is settled below.
-            best = np.partition(near, min(k, len(vids)) - 1, axis=1)[:, min(k, len(vids)) - 1]
-            a, b = np.nonzero(near <= best[:, None] + 1e-9)
-            kept = np.isfinite(near[a, b])
-            a, b = a[kept], b[kept]
-            exact = np.sqrt(((q[a] - v[b]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(vids[b]), pa.array(exact)], ["qid", "vid", "d"])
-
-    found = items.where("v is not null").select("vid", "v").mapInArrow(multiply, T.StructType.fromDDL("qid bigint, vid bigint, d double"))
-    return rank_nearest(found, k)
+            for at in range(0, part.num_rows, STEP):
+                yield pa.RecordBatch.from_arrays(nearest(qids, q, part.slice(at, STEP)), schema=_FOUND)
+
+    return rank_nearest(items.mapInArrow(multiply, schema), k)
 
 
 def campaign(queries: DataFrame, items: DataFrame, k: int, batches: int) -> DataFrame:
@@ -92,7 +134,7 @@ def tanimoto(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, vid, inter, uni) of packed fingerprints (qid, qfp) and (vid, fp)."""
     from ..functions.distance import common_bits, union_bits
 
-    return items.join(F.broadcast(queries.limit(BATCH)), F.col("qid") != F.col("vid")).select("qid", "vid", common_bits(F.col("qfp"), F.col("fp")).alias("inter"), union_bits(F.col("qfp"), F.col("fp")).alias("uni"))
+    return paired(queries, items, F.col("qid") != F.col("vid")).select("qid", "vid", common_bits(F.col("qfp"), F.col("fp")).alias("inter"), union_bits(F.col("qfp"), F.col("fp")).alias("uni"))
 
 
 def set_overlap_join(sets: DataFrame, tenths: int) -> DataFrame:

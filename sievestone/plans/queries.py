@@ -143,7 +143,7 @@ def tanimoto_topk(spark, sf_dir):
 def tanimoto_threshold(spark, sf_dir):
     q, i = _fingerprints(spark, sf_dir)
     # The bound on counts first; it can't lose a pair.
-    i = i.join(F.broadcast(q.limit(search.BATCH)), bounds.popcount_bound(F.bit_count("qfp"), F.bit_count("fp")) * 10 >= 4)
+    i = search.paired(q, i, bounds.popcount_bound(F.bit_count("qfp"), F.bit_count("fp")) * 10 >= 4)
     found = i.where(F.col("qid") != F.col("vid")).select("qid", "vid", fn.common_bits(F.col("qfp"), F.col("fp")).alias("inter"), fn.union_bits(F.col("qfp"), F.col("fp")).alias("uni"))
     return found.where(F.col("inter") * 10 >= F.col("uni") * 4)
 
@@ -163,7 +163,7 @@ def _marked(spark, sf_dir):
 
 
 def _pruned(queries, items, bound):
-    pairs = items.join(F.broadcast(queries.limit(search.BATCH)), (F.col("qid") != F.col("vid")) & (bound <= RADIUS + bounds.SLACK))
+    pairs = search.paired(queries, items, (F.col("qid") != F.col("vid")) & (bound <= RADIUS + bounds.SLACK))
     return _ranged(pairs.select("qid", "vid", fn.l2(F.col("qv"), F.col("v")).alias("d")).where(F.col("d") <= RADIUS))
 
 
@@ -197,7 +197,7 @@ def bound_pca(spark, sf_dir):
 def bound_aabb(spark, sf_dir):
     q, i = _marked(spark, sf_dir)
     near = bounds.cell_bounds(q, bounds.envelopes(i)).where(F.col("lb") <= RADIUS + bounds.SLACK)
-    pairs = i.join(near.select("qid", "cell"), "cell").join(F.broadcast(q.limit(search.BATCH)), "qid").where(F.col("qid") != F.col("vid"))
+    pairs = i.join(near.select("qid", "cell"), "cell").join(q, "qid").where(F.col("qid") != F.col("vid"))
     return _ranged(pairs.select("qid", "vid", fn.l2(F.col("qv"), F.col("v")).alias("d")).where(F.col("d") <= RADIUS))
 
 
@@ -205,7 +205,7 @@ def bound_aabb(spark, sf_dir):
 def bound_interval(spark, sf_dir):
     q, i = _marked(spark, sf_dir)
     cells = bounds.envelopes(i)
-    near = cells.join(F.broadcast(q.limit(search.BATCH))).where(bounds.interval_bound(F.col("qld"), F.col("dlo"), F.col("dhi")) <= RADIUS + bounds.SLACK)
+    near = search.paired(q, cells, bounds.interval_bound(F.col("qld"), F.col("dlo"), F.col("dhi")) <= RADIUS + bounds.SLACK, key="cell")
     pairs = i.join(near.select("cell", "qid", "qv"), "cell").where(F.col("qid") != F.col("vid"))
     return _ranged(pairs.select("qid", "vid", fn.l2(F.col("qv"), F.col("v")).alias("d")).where(F.col("d") <= RADIUS))
 
