@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is cut from labelled training texts. A text is encoded once per
+For each language a raw-content zstandard dictionary is made of pieces from all over labelled training texts. A text is encoded once per
 language, and the language whose dictionary makes it smallest wins; the text is rejected when the runner-up is nearly
 as small. The dictionaries are the whole model: `dictionary_bytes` per language, for at most `max_languages` languages,
 which bounds what is sent to the executors.
@@ -16,7 +16,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from .common import frugal, likely_first
 DICTIONARY_BYTES = 1 << 17
 TRAINING_TEXTS = 400
 MAX_LANGUAGES = 64
+#: A text longer than its share gives so many pieces, one of each part of the text.
+PIECES = 4
 LEVEL = 6
 #: A text is encoded in parts of so many bytes, so that the dictionary stays in the window and all parts count alike.
 PART_BYTES = 8192
@@ -32,24 +34,31 @@ PART_BYTES = 8192
 MARGIN = 0.003
 
 
+def _pieces(share: int) -> Column:
+    """At most `share` bytes of a text: all of it, or a piece at a hashed position of each of PIECES equal parts."""
+    raw, size = F.col("text").cast("binary"), F.octet_length("text")
+    part, piece = F.floor(size / PIECES), max(1, share // PIECES)
+    starts = [k * part + F.pmod(F.xxhash64("text", F.lit(k)), part - piece + 1) for k in range(PIECES)]
+    return F.when(size <= max(share, PIECES * piece), raw).otherwise(F.concat(*[F.substring(raw, (at + 1).cast("int"), F.lit(piece)) for at in starts]))
+
+
 def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, texts: int = TRAINING_TEXTS, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """Dictionaries from rows (doc_id, text, lang): per language a sample of `texts` texts, the smallest by a hash of the
-    id, of each an equal share of the dictionary. Sample and share are bounds of the model's size, not of what is judged."""
+    id, of each an equal share of the dictionary, taken from all over the text. Where a language has fewer texts, their
+    shares are larger. Sample and share are bounds of the model's size, not of what is judged."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     languages = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    share = max(1, dictionary_bytes // texts)
     out = {}
     for lang in sorted(languages):
+        share = max(1, dictionary_bytes // min(texts, languages[lang]) - 1)
         sample = (
             rows.where((F.col("lang") == lang) & likely_first(F.xxhash64("doc_id"), texts, languages[lang]))
-            .select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.substring("text", 1, 4 * share).alias("text"))
+            .select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), _pieces(share).alias("raw"))
             .orderBy("h", "t")
             .limit(texts)
             .collect()
         )
-        parts = [r["text"].encode() for r in sample]
-        share_now = max(share, dictionary_bytes // max(1, len(parts)))
-        out[lang] = b"\n".join(p[:share_now] for p in parts)[:dictionary_bytes]
+        out[lang] = b"\n".join(bytes(r["raw"]) for r in sample)[:dictionary_bytes]
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 

@@ -178,6 +178,27 @@ def test_language_id(spark, edge, empty):
     assert language_id.train(empty) == {} and language_id.classify(empty, model).count() == 0
 
 
+def test_language_id_learns_beyond_a_shared_header(spark):
+    """Texts that all open with one long header: the languages are told apart by what follows it."""
+    header = "".join(random.Random(10).choice("abcdefgh ,.") for _ in range(1500))
+    docs = table(spark, SF, "documents").where(F.length("text") > 600).withColumn("text", F.concat(F.lit(header), "text"))
+    model = language_id.train(docs.where(crc_mod("doc_id", 3) != 1))
+    got = language_id.classify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(crc_mod("doc_id", 3) == 1).collect()
+    assert got and np.mean([r.lang_pred == r.lang and not r.rejected for r in got]) > 0.9
+
+
+def test_language_id_fills_dictionaries_of_few_texts(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}é" for _ in range(20000)), "aa") for i in range(3)] + [(9, "one short text", "bb")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert language_id.DICTIONARY_BYTES - 100 < len(model["aa"]) <= language_id.DICTIONARY_BYTES and model["bb"] == b"one short text"
+    for i, text, _ in rows[:3]:
+        raw, parts = text.encode(), language_id.PIECES
+        size = (language_id.DICTIONARY_BYTES // 3 - 1) // parts
+        pieces_ = [model["aa"].split(b"\n")[k] for k in range(3)]
+        assert any(all(p[k * size : (k + 1) * size] in raw[k * (len(raw) // parts) : (k + 1) * (len(raw) // parts)] for k in range(parts)) for p in pieces_)
+
+
 # 4 language model
 def brute_scores(rows, held_out, mass=ngram_lm.MASS):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
