@@ -82,11 +82,16 @@ def frugal(work):
     return run
 
 
+def hash_bound(wanted: int, total: int) -> int:
+    """The bound of 64-bit hashes up to which 4 * wanted of total are expected; the largest hash for a small total."""
+    share = 4 * wanted / max(1, total)
+    return (1 << 63) - 1 if share >= 1 else int(-(1 << 63) + share * (1 << 64))
+
+
 def likely_first(order: Column, wanted: int, total: int) -> Column:
     """Keeps the rows whose 64-bit hash `order` is among the smallest 4 * wanted of total, in expectation, so that a
     top-`wanted` that follows moves few rows however many tasks there are. True for all rows of a small table."""
-    share = 4 * wanted / max(1, total)
-    return F.lit(True) if share >= 1 else order < F.lit(int(-(1 << 63) + share * (1 << 64)))
+    return F.lit(True) if 4 * wanted >= total else order < F.lit(hash_bound(wanted, total))
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -199,6 +199,20 @@ def test_language_id_fills_dictionaries_of_few_texts(spark):
         assert any(all(p[k * size : (k + 1) * size] in raw[k * (len(raw) // parts) : (k + 1) * (len(raw) // parts)] for k in range(parts)) for p in pieces_)
 
 
+def test_language_id_learns_every_language(spark):
+    """More languages than were once kept, in dictionaries that share a fixed total, and in several groups of encoders."""
+    rng = random.Random(12)
+    words = [["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(40)] for _ in range(150)]
+    rows = [(10 * k + i, " ".join(rng.choice(w) for _ in range(120)), f"l{k:03d}") for k, w in enumerate(words) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    total = 150 * 1200
+    model = language_id.train(docs.where("doc_id % 10 < 3"), total_bytes=total)
+    assert len(model) == 150 and sum(map(len, model.values())) <= total
+    got = language_id.classify(docs.where("doc_id % 10 = 3"), model).collect()
+    assert len(got) == 150 and all(r.lang_pred == f"l{r.doc_id // 10:03d}" and not r.rejected for r in got)
+    assert len(language_id.train(docs)) == 150
+
+
 # 4 language model
 def brute_scores(rows, held_out, mass=ngram_lm.MASS):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
