@@ -129,9 +129,11 @@ def tokenizer_path(name: str) -> str:
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary as the tokenizers library gives them. Texts whose letters all have been in Unicode
     for long (below U+0250, and common punctuation) are encoded by tiktoken from the same vocabulary, three times as fast;
-    other texts, where the two libraries' tables of letters might differ, by tokenizers itself."""
+    other texts, where the two libraries' tables of letters might differ, by tokenizers itself. With `added_tokens`, a text
+    that holds an added token's content goes to tokenizers too, which gives that token's id; otherwise the content is
+    encoded like any text (encode_special_tokens)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import json
 
         import regex
@@ -139,31 +141,34 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.plain = regex.compile("[\\t\\n\\r -~¡-¬®-ɏ‐-‧]*")
         shown = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
         shown |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown.values()))}
         model = json.load(open(path, encoding="utf-8"))
         special = {t["content"] for t in model["added_tokens"]}
+        if not added_tokens:
+            self.slow.encode_special_tokens = True
+        self.added = sorted(special) if added_tokens else []
         ranks = {bytes(shown[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.plain.fullmatch(text):
+        if self.plain.fullmatch(text) and not any(t in text for t in self.added):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, pool: int = POOL, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, pool: int = POOL, end_id: int = 0, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the
-    ids, if asked for). Every token but a document's first bears loss."""
+    ids, if asked for). Every token but a document's first bears loss. With `added_tokens`, ids are those of an unmodified
+    Tokenizer, which turns the content of an added token into its id."""
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = ByteBpe(path)
+        coder = ByteBpe(path, added_tokens)
         number = TaskContext.get().partitionId() << 32
         waiting = Pool(length, segments, length)
         rows: list = []

@@ -340,6 +340,24 @@ def test_packing(spark, edge, empty):
     assert packing.pack_documents(edge).agg(F.sum("length")).first()[0] >= sum(r.length for r in pieces_) - 200
 
 
+def test_packing_query_gives_ids_of_an_unmodified_tokenizer(spark, tmp_path):
+    """Texts with an added token's content, in the query and in the pipeline's last stage."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "日本 <|endoftext|> é", "<|endoftext", "plain", "x " * 3000 + "<|endoftext|>", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op7_packing(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path))):
+        rows, ends = got.collect(), Counter()
+        for r in rows:
+            ids = np.array([*coder.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+            ends[r.doc_id] += r.length
+        assert all(ends[i] == len(coder.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts))
+
+
 def test_pack_examples_keeps_limits(spark):
     rng = random.Random(8)
     rows = [(i, rng.randint(0, 900), rng.randint(0, 300)) for i in range(800)] + [(900, 5000, 10), (901, None, None)]
