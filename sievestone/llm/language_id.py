@@ -48,22 +48,28 @@ def _pieces(share: Column) -> Column:
 
 def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, texts: int = TRAINING_TEXTS, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Dictionaries from rows (doc_id, text, lang) for every language: per language a sample of `texts` texts, the smallest
-    by a hash of the id, of each an equal share of the dictionary, taken from all over the text. Where a language has fewer
-    texts, their shares are larger; where dictionaries must be smaller, there are fewer texts. Sample and share are bounds
-    of the model's size, not of what is judged. A language with less than 8 bytes of text can't be learned."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    languages = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    by a hash of id and text, of each an equal share of the dictionary, taken from all over the text. Copies of a row count
+    once. Where a language has fewer texts, their shares are larger; where dictionaries must be smaller, there are fewer
+    texts. Sample and share are bounds of the model's size, not of what is judged. A language with less than 8 bytes of text
+    can't be learned."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    languages = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not languages:
         return {}
     room = max(8, min(dictionary_bytes, total_bytes // len(languages)))
     wanted = max(1, min(texts, room * texts // dictionary_bytes))
-    plan = [(lang, max(1, room // min(wanted, n) - 1), hash_bound(wanted, n)) for lang, n in languages.items()]
-    plan = docs.sparkSession.createDataFrame(plan, "lang string, share int, bound long")
-    sample = rows.select("lang", "text", F.xxhash64("doc_id").alias("h")).join(F.broadcast(plan), "lang").where(F.col("h") <= F.col("bound"))
-    found = defaultdict(list)
-    for r in sample.select("lang", "h", F.xxhash64("text").alias("t"), _pieces(F.col("share")).alias("raw")).collect():  # about 4 * total_bytes at most
-        found[r["lang"]].append((r["h"], r["t"], bytes(r["raw"])))
-    out = {lang: b"\n".join(raw for *_, raw in sorted(x)[:wanted])[:room] for lang, x in sorted(found.items())}
+
+    def below(bounds: list[tuple], ddl: str) -> DataFrame:
+        return rows.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, ddl)), "lang").where(F.col("h") <= F.col("bound"))
+
+    first, found = defaultdict(list), defaultdict(list)
+    # At least 32 hashes a language are expected, so that none is left without.
+    for r in below([(lang, hash_bound(max(8, wanted), n)) for lang, n in languages.items()], "lang string, bound long").select("lang", "h").distinct().collect():
+        first[r["lang"]].append(r["h"])
+    plan = [(lang, sorted(h)[:wanted][-1], max(1, room // min(wanted, len(h)) - 1)) for lang, h in first.items()]
+    for r in below(plan, "lang string, bound long, share int").select("lang", "h", _pieces(F.col("share")).alias("raw")).distinct().collect():
+        found[r["lang"]].append((r["h"], bytes(r["raw"])))
+    out = {lang: b"\n".join(raw for _, raw in sorted(x))[:room] for lang, x in sorted(found.items())}
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 

@@ -213,6 +213,18 @@ def test_language_id_learns_every_language(spark):
     assert len(language_id.train(docs)) == 150
 
 
+def test_language_id_learns_rows_with_null_or_repeated_ids(spark):
+    rng = random.Random(13)
+    text = lambda c: " ".join(c + str(rng.randrange(10**5)) for _ in range(20))
+    rows = [(None, text("n"), "null") for _ in range(4000)] + [(7, text("h"), "hot") for _ in range(4000)] + [(8, text("c"), "unique")] * 4000 + [(k, text("i"), "ids") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    for ids in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        model = language_id.train(ids)
+        assert set(model) == {"null", "hot", "unique", "ids"} and model["unique"] == rows[8000][1].encode()
+        assert all(len(model[k].split(b"\n")) == language_id.TRAINING_TEXTS for k in ("null", "hot", "ids"))
+        assert model == language_id.train(ids.repartition(3))
+
+
 # 4 language model
 def brute_scores(rows, held_out, mass=ngram_lm.MASS):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
