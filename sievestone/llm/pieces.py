@@ -232,9 +232,9 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True, with_text: bool = False) -> DataFrame:
     """doc_id, ids (if asked for), n_ids, ids_crc32 (of little-endian unsigned 32-bit ids), round_trip: whether the ids decode
-    to the text."""
+    to the text; and the decoded text, if asked for."""
     path = path or model_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +245,17 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 rows = own.encode(texts)
                 columns = [part.column("doc_id")]
                 if with_ids:
-                    columns.append(pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32))))
                 columns.append(pa.array([len(r) for r in rows], pa.int64()))
                 columns.append(pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()))
-                columns.append(pa.array([own.decode(r) == (t or "").replace(SPACE, " ") for r, t in zip(rows, texts)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *["ids"] * with_ids, "n_ids", "ids_crc32", "round_trip"])
+                decoded = [own.decode(r) for r in rows]
+                columns.append(pa.array([d == (t or "").replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)], pa.bool_()))
+                if with_text:
+                    columns.append(pa.array(decoded, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *["ids"] * with_ids, "n_ids", "ids_crc32", "round_trip", *["text"] * with_text])
 
-    schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_ids long, ids_crc32 long, round_trip boolean"
+    schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_ids long, ids_crc32 long, round_trip boolean" + ", text string" * with_text
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(encode), T.StructType.fromDDL(schema))
 
 

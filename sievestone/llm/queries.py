@@ -58,7 +58,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), with_text=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_language_id, op4_lm_scoring, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter, op10_sentencepiece)}

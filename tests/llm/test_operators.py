@@ -454,6 +454,19 @@ def test_pieces(spark, edge, empty):
     assert pieces.encode_documents(empty).count() == 0
 
 
+def test_pieces_query_returns_ids_and_decoded_texts(spark, tmp_path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").limit(60).collect()} | {-1: None, -2: "", -3: "日本語 \U0001f600 a  b\n"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        assert r.ids == model.encode(text) and r.n_ids == len(r.ids) and r.text == text and r.round_trip
+
+
 def test_pieces_forget_pairs(monkeypatch):
     rng = random.Random(3)
     texts = [" ".join("".join(rng.choice("abcdehilnorst") for _ in range(9)) for _ in range(40)) for _ in range(6)]
