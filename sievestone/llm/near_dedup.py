@@ -6,17 +6,23 @@ the darts below its weight and below a rank limit that yields about k ln k + 2k
 falls on one of k coordinates, the earliest of a coordinate is kept, and texts with an empty coordinate look at more ranks.
 Two texts agree in a coordinate with the chance of their similarity.
 
-Equal multisets are one representative from the start. Representatives that share a band key are candidates. A bucket is
-never expanded into all its pairs: members are compared with the bucket's most central member (the one with the most
-company in all its buckets), verified on their exact shingles, and united. Buckets that then still hold several classes
-are compared again with other centers. What is left after that, members outside a bucket's main class against members of
-other classes, is compared in full: small buckets by a join, large ones in blocks of bounded size, each an inverted index
-from which only links leave. So no candidate pair is left out unless its two texts are already in one class.
+The input is written once to the shared folder under row numbers (`ledger.keyed`), and rows are known by these, never by
+doc_id, so rows that share an id but not their text don't mix. Equal multisets are one representative from the start.
+Representatives that share a band key are candidates. A bucket is never expanded into all its pairs: members are compared
+with the bucket's most central member (the one with the most company in all its buckets) and united if their shingles are
+similar enough. What is left after that, members outside a bucket's main class against members of other classes, is
+compared in full: small buckets by a join, large ones in blocks of bounded size, each an inverted index from which only links
+leave. So no candidate pair is left out unless its two texts are already in one class. Pairs are compared by the exact
+weighted Jaccard of 32-bit hashes of their shingles (of each occurrence), never by signatures. Texts aren't shuffled: those
+with company are found where they lie, and only their hashes move.
 
 Defined results: null texts, texts without words and rows without doc_id are classes of their own (class_id is their
 doc_id). Texts of fewer than five words are one shingle. Repeated rows share a class. class_id is the class's smallest
-doc_id. Very long texts are hashed whole. An empty table gives an empty result; columns other than doc_id and text are
-ignored.
+doc_id, and the rows of that id stay, if their shingles are those of the text that stays; of several texts under that id in
+one class, one stays. Rows of one id with unrelated texts are in several classes; should two classes have the same smallest
+doc_id by this, both give it as class_id, but their sizes and what they keep stay apart. Very long texts are hashed whole.
+An empty table gives an empty result; columns other than doc_id and text are ignored by `near_duplicates` and returned as
+they are by `apart`.
 """
 
 from __future__ import annotations
@@ -26,22 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import frugal, mix, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
 from .components import components
+from .ledger import bitmaps, keyed, marked
 
 WORDS = 5
 SIMILARITY = 0.8
 SLICE = 1 << 19
 BANDS, ROWS = 24, 5
-ROUNDS = 1
 #: Buckets of more members are compared in blocks of so many.
 SMALL, BLOCK = 32, 256
-#: Ids are compared after an exclusive or with one of these, so that each round and band prefers other centers.
-ORDERS = [0x0, 0x5A5A3C3C96E1D2B4, 0x2F4B9D6183C57EA8, 0x71D20F5EB38A64C9, 0x19E6A7542CF8B03D, 0x4C83D1F95A7E260B, 0x63B57C8E1F0A94D2, 0x3E9AF0C7D4528B16]
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +132,7 @@ def band_keys(signatures: np.ndarray, bands: int, per: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, per: int) -> DataFrame:
-    """doc_id, g1, g2 (a 128-bit hash of the shingles; null without words), bands."""
+    """id, doc_id, g1, g2 (a 128-bit hash of the shingles; null without words), bands; from rows (id, doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +146,13 @@ def signatures(docs: DataFrame, words: int, bands: int, per: int) -> DataFrame:
                 none = np.diff(bounds) == 0
                 g1, g2 = ((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums)
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(g1, mask=none), pa.array(g2, mask=none), lists], ["doc_id", "g1", "g2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc_id"), pa.array(g1, mask=none), pa.array(g2, mask=none), lists], ["id", "doc_id", "g1", "g2", "bands"])
 
-    return docs.mapInArrow(frugal(sign), T.StructType.fromDDL("doc_id long, g1 long, g2 long, bands array<long>"))
+    return docs.mapInArrow(frugal(sign), T.StructType.fromDDL("id long, doc_id long, g1 long, g2 long, bands array<long>"))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, cells: the sorted 32-bit hashes of the cells of each text's shingles."""
+    """id, cells: the sorted 32-bit hashes of the cells of each text's shingles; from rows (id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +161,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 rows, cells, _ = unit_cells(rows, hashes, counts.astype(float))
                 bounds, cells = row_bounds(rows, part.num_rows), (cells >> np.uint64(32)).astype("<u4")
                 sets = [np.sort(cells[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "cells"])
 
-    return docs.mapInArrow(frugal(cut), T.StructType.fromDDL("doc_id long, cells binary"))
+    return docs.mapInArrow(frugal(cut), T.StructType.fromDDL("id long, cells binary"))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -171,9 +175,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, folder: str, name: str) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose shingle sets are at least so similar."""
+    """The pairs (u, v) of ids whose shingle sets are at least so similar."""
     # Merged at any size, so that the plan's cost grows in proportion: sets are far too large to be sent to every executor.
-    sides = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("cells").alias("a")).hint("merge"), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("cells").alias("b")).hint("merge"), "v")
+    sides = pairs.join(sets.select(F.col("id").alias("u"), F.col("cells").alias("a")).hint("merge"), "u").join(sets.select(F.col("id").alias("v"), F.col("cells").alias("b")).hint("merge"), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,13 +188,6 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, folder: str,
     return written(sides.select("u", "v", "a", "b").mapInArrow(frugal(compare), T.StructType.fromDDL("u long, v long")).distinct(), folder, f"{name}-edges")
 
 
-def _order(round_: int) -> Column:
-    """The constant of a band in a round; the band's number is in the key's lowest bits."""
-    band = F.col("band").bitwiseAND(F.lit(3))
-    at = [ORDERS[(4 * round_ + i) % len(ORDERS)] for i in range(4)]
-    return F.when(band == 0, F.lit(at[0])).when(band == 1, F.lit(at[1])).when(band == 2, F.lit(at[2])).otherwise(F.lit(at[3]))
-
-
 def block_links(crowd: DataFrame, sets: DataFrame, similarity: float, folder: str, block: int) -> DataFrame:
     """Links (u, v) within large buckets, from rows (band, rep, label, main, n): members of another class than `main`
     against all members of classes other than their own. Both sides are dealt in blocks, so a task holds two of them."""
@@ -198,7 +195,7 @@ def block_links(crowd: DataFrame, sets: DataFrame, similarity: float, folder: st
     own = F.pmod(F.xxhash64("rep", "band"), blocks.cast("long")).cast("int")
     member = crowd.select("band", "rep", "label", own.alias("j"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(False).alias("outside"))
     outside = crowd.where("label <> main").select("band", "rep", "label", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("outside"))
-    dealt = member.unionByName(outside).join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    dealt = member.unionByName(outside).join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -226,62 +223,60 @@ def block_links(crowd: DataFrame, sets: DataFrame, similarity: float, folder: st
     return written(links.distinct(), folder, "crowd-links")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, per: int = ROWS, rounds: int = ROUNDS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, class_size, kept for every row of docs (doc_id, text)."""
-    folder = work_folder(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(signatures(docs, words, bands, per), folder, "signatures")
-    groups = signed.where("doc_id is not null and g1 is not null").groupBy("g1", "g2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+def _classes(ledger: DataFrame, folder: str, words: int, similarity: float, bands: int, per: int, small: int, block: int) -> DataFrame:
+    """id, doc_id, class_id, class_size, kept of every row of a ledger."""
+    rows = ledger.select("id", "pid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    signed = written(signatures(rows.select("id", "doc_id", "text"), words, bands, per), folder, "signatures")
+    groups = signed.where("doc_id is not null and g1 is not null").groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     groups = written(groups, folder, "groups")
     entries = groups.select("rep", F.explode("bands").alias("band"))
 
     crowded = written(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), folder, "crowded")
     entries = written(entries.join(crowded, "band"), folder, "entries")  # of buckets with company
     company = written(entries.groupBy("rep").agg(F.sum("n").alias("company")), folder, "company")
-    # The only time that texts move: once, those with company.
-    wanted = company.select(F.col("rep").alias("doc_id"))
-    sets = written(shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), words), folder, "sets")
-    labels = tested = None
-    for round_ in range(rounds + 1):
-        members = entries.withColumn("label", F.col("rep"))
-        if labels is not None:
-            members = entries.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("rep", "band", "n", F.coalesce("root", "rep").alias("label"))
-            mixed = members.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-            mixed = written(mixed, folder, f"mixed-{round_}")
-            members = written(members.join(mixed, "band", "left_semi"), folder, f"members-{round_}")
-        links = None
-        if round_ < rounds:
-            if round_ == 0:
-                centers = members.join(company, "rep").groupBy("band").agg(F.max_by("rep", "company").alias("center"))
-            else:
-                centers = members.groupBy("band").agg(F.min(F.col("rep").bitwiseXOR(_order(round_))).alias("least")).select("band", F.col("least").bitwiseXOR(_order(round_)).alias("center"))
-            centers = written(centers, folder, f"centers-{round_}")
-            pairs = members.join(centers, "band").where("rep <> center")
-            if labels is not None:
-                roots = labels.select(F.col("u").alias("center"), F.col("v").alias("root"))
-                pairs = pairs.join(roots, "center", "left").where(F.coalesce("root", "center") != F.col("label"))
-            pairs = pairs.select(F.greatest("rep", "center").alias("u"), F.least("rep", "center").alias("v")).distinct()
-        else:
-            main = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", "size").alias("main"))
-            main = written(main, folder, "main")
-            members = written(members.join(main, "band"), folder, "last-members")
-            links = block_links(members.where(F.col("n") > small), sets, similarity, folder, block)
-            few = members.where(F.col("n") <= small)
-            outside = few.where("label <> main").select("band", F.col("rep").alias("u"), F.col("label").alias("mine"))
-            pairs = outside.join(few.select("band", F.col("rep").alias("v"), "label"), "band").where((F.col("mine") != F.col("label")) & (F.col("u") != F.col("v")))
-            pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, folder, f"pairs-{round_}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = verified(pairs, sets, similarity, folder, f"round-{round_}")
-        for more in (links, labels):
-            found = found if more is None else found.unionByName(more)
-        labels = components(found, folder, f"components-{round_}")
-
-    classes = groups.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("g1", "g2", "copies", F.coalesce("root", "rep").alias("class_id"))
-    classes = written(classes, folder, "classes")
-    sizes = written(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size")), folder, "sizes")
-    classes = written(classes.join(sizes, "class_id").select("g1", "g2", "class_id", "class_size"), folder, "classes-sized")
-    rows = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("g1")).alias("g1"), "g2").join(classes, ["g1", "g2"], "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    with_company = written(bitmaps(company.select(F.col("rep").alias("id"))), folder, "with-company")
+    sets = written(shingle_sets(marked(rows, with_company).where("hit").select("id", "text"), words), folder, "sets")
+
+    centers = written(entries.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", "rep")).alias("center")), folder, "centers")
+    pairs = entries.join(centers, "band").where("rep <> center")
+    tested = written(pairs.select(F.greatest("rep", "center").alias("u"), F.least("rep", "center").alias("v")).distinct(), folder, "pairs-0")
+    labels = components(verified(tested, sets, similarity, folder, "round-0"), folder, "components-0")
+
+    members = entries.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("rep", "band", "n", F.coalesce("root", "rep").alias("label"))
+    mixed = written(members.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band"), folder, "mixed")
+    members = written(members.join(mixed, "band", "left_semi"), folder, "members")
+    main = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", "size").alias("main"))
+    members = written(members.join(written(main, folder, "main"), "band"), folder, "last-members")
+    links = block_links(members.where(F.col("n") > small), sets, similarity, folder, block)
+    few = members.where(F.col("n") <= small)
+    outside = few.where("label <> main").select("band", F.col("rep").alias("u"), F.col("label").alias("mine"))
+    pairs = outside.join(few.select("band", F.col("rep").alias("v"), "label"), "band").where((F.col("mine") != F.col("label")) & (F.col("u") != F.col("v")))
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    found = verified(written(pairs, folder, "pairs-1"), sets, similarity, folder, "round-1").unionByName(links).unionByName(labels)
+    labels = components(found, folder, "components-1")
+
+    groups = groups.join(labels.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("g1", "g2", "copies", "first", F.coalesce("root", "rep").alias("root"))
+    groups = written(groups, folder, "classes")
+    # The text that stays: of those with the smallest id the first by hash.
+    sizes = written(groups.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min(F.struct("first", "g1", "g2")).alias("stays")), folder, "sizes")
+    classes = groups.join(sizes, "root").select("g1", "g2", "class_size", F.col("stays.first").alias("class_id"), ((F.col("stays.g1") == F.col("g1")) & (F.col("stays.g2") == F.col("g2"))).alias("stays"))
+    classes = written(classes, folder, "classes-sized")
+    found = signed.select("id", "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("g1")).alias("g1"), "g2").join(classes, ["g1", "g2"], "left")
+    kept = F.col("stays") & (F.col("class_id") == F.col("doc_id"))
+    return found.select("id", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(kept, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, per: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, class_size, kept for every row of docs (doc_id, text)."""
+    folder = work_folder(docs.sparkSession)
+    ledger = keyed(docs.select("doc_id", "text"), folder, "ledger")
+    return _classes(ledger, folder, words, similarity, bands, per, small, block).drop("id")
+
+
+def apart(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, per: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """The rows of docs that stay, one document of each class, with all their columns; texts aren't shuffled."""
+    folder = work_folder(docs.sparkSession)
+    ledger = keyed(docs, folder, "ledger")
+    dropped = _classes(ledger, folder, words, similarity, bands, per, small, block).where(~F.col("kept")).select("id")
+    words_ = written(bitmaps(dropped), folder, "dropped")
+    return marked(ledger, words_).where(~F.col("hit")).select("row.*")
