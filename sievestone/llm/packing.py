@@ -1,14 +1,19 @@
 """Packing of token sequences by vector bin packing with the dot-product heuristic.
 
-An item has three sizes: tokens, segments (1) and loss-bearing tokens. A bin takes, again and again, the item that fits
+An item has three sizes: tokens, segments (1) and loss-bearing tokens, of which its first tokens are none. A bin takes, again and again, the item that fits
 and whose sizes have the largest dot product with what is left of the bin, each divided by its limit, so large items go
 where there is room and a bin rich in one resource draws items that use it. Where items may be cut, the bin's last gap is
 filled with the head of an item, whose tail stays in the pool; what is left at the end of a partition is cut at powers of
 two. Packing works through each partition in pools of a bounded number of items; nothing is shuffled.
 
+`pack_examples` is for instruction data, where roles decide which tokens bear loss. `pack_documents` is for plain texts: every
+token but a document's first bears loss, and a sequence takes at most `LOSS` of them, one less than its tokens, as a model that
+reads 1024 tokens predicts 1023. So a sequence of continuations alone ends a token early and is padded by it.
+
 Defined results: null texts are empty; an empty text still has its end token. A null doc_id is passed through. Repeated
 rows are separate documents. An empty table gives an empty result. Very long texts are cut in full sequences. Sequence
-numbers are unique (partition number times 2**32 plus a counter) and the same when a task is run again.
+numbers are unique (partition number times 2**32 plus a counter) and the same when a task is run again. Texts that hold an
+added token's content have that token's id, as the tokenizers library gives it. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from .common import frugal, text_slices
 
 LENGTH = 1024
 SEGMENTS = 64
+LOSS = LENGTH - 1
 POOL = 1024
 
 
@@ -67,12 +73,13 @@ class Pool:
                     n = int(self.sizes[at, 0])
                 elif self.cut:
                     at = int(np.argmax(np.where(alive, self.sizes[:, 0], -1)))
-                    n = min(int(self.sizes[at, 0]), tokens, loss)
-                    if n <= 0:
+                    n = min(int(self.sizes[at, 0]), tokens, loss + int(self.sizes[at, 0] - self.sizes[at, 1]))
+                    # No head without loss is cut off just to fill a gap.
+                    if not loss or n <= 0:
                         at = -1
                 if at < 0:
                     break
-                lost = int(self.sizes[at, 1]) if n == self.sizes[at, 0] else min(n, int(self.sizes[at, 1]))
+                lost = max(0, n - int(self.sizes[at, 0] - self.sizes[at, 1]))
                 taken.append((self.keys[at], n))
                 tokens, segments, loss = tokens - n, segments - 1, loss - lost
                 self.sizes[at] -= (n, lost)
@@ -129,11 +136,10 @@ def tokenizer_path(name: str) -> str:
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary as the tokenizers library gives them. Texts whose letters all have been in Unicode
     for long (below U+0250, and common punctuation) are encoded by tiktoken from the same vocabulary, three times as fast;
-    other texts, where the two libraries' tables of letters might differ, by tokenizers itself. With `added_tokens`, a text
-    that holds an added token's content goes to tokenizers too, which gives that token's id; otherwise the content is
-    encoded like any text (encode_special_tokens)."""
+    other texts, where the two libraries' tables of letters might differ, and those that hold an added token's content, by
+    tokenizers itself."""
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str):
         import json
 
         import regex
@@ -146,9 +152,7 @@ class ByteBpe:
         shown |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown.values()))}
         model = json.load(open(path, encoding="utf-8"))
         special = {t["content"] for t in model["added_tokens"]}
-        if not added_tokens:
-            self.slow.encode_special_tokens = True
-        self.added = sorted(special) if added_tokens else []
+        self.added = sorted(special)
         ranks = {bytes(shown[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -159,18 +163,34 @@ class ByteBpe:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, pool: int = POOL, end_id: int = 0, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+def conversation_examples(conversations: DataFrame, path: str | None = None, end_id: int = 0, role: str = "assistant") -> DataFrame:
+    """example_id (the conv_id), n_tokens, n_loss of conversations in rows (conv_id, turn, role, text): each turn is its text's
+    ids and an end, and those of `role` bear loss. Only counts are shuffled. Null texts are empty; turns without a conv_id are
+    one conversation without id; repeated turns count as often as they occur; null roles bear no loss."""
+    path = path or tokenizer_path("byte_bpe_50k.json")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = ByteBpe(path)
+        for batch in batches:
+            sizes = [len(coder.encode(text or "")) + 1 for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(sizes, pa.int64()), batch.column("answer")], ["example_id", "n_tokens", "answer"])
+
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "text", F.coalesce(F.col("role") == role, F.lit(False)).alias("answer"))
+    counted = turns.mapInArrow(frugal(count), T.StructType.fromDDL("example_id long, n_tokens long, answer boolean"))
+    return counted.groupBy("example_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.when(F.col("answer"), F.col("n_tokens")).otherwise(0)).alias("n_loss"))
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, pool: int = POOL, end_id: int = 0, loss: int = LOSS, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the
-    ids, if asked for). Every token but a document's first bears loss. With `added_tokens`, ids are those of an unmodified
-    Tokenizer, which turns the content of an added token into its id."""
+    ids, if asked for)."""
     path = path or tokenizer_path("byte_bpe_50k.json")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = ByteBpe(path, added_tokens)
+        coder = ByteBpe(path)
         number = TaskContext.get().partitionId() << 32
-        waiting = Pool(length, segments, length)
+        waiting = Pool(length, segments, loss)
         rows: list = []
 
         def place(taken: list) -> None:
@@ -196,8 +216,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
                 for doc, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = np.append(coder.encode(text or ""), np.uint32(end_id)).astype("<u4")
                     item = {"doc": doc, "ids": ids, "at": 0}
-                    for _ in range(len(ids) // length):
-                        place([(item, length)])
+                    while len(ids) - item["at"] >= (whole := min(length, loss + (item["at"] == 0))):
+                        place([(item, whole)])
                     if rest := len(ids) - item["at"]:
                         fresh.append((item, rest, rest - (item["at"] == 0)))
                 for a in range(0, len(fresh), pool // 2):

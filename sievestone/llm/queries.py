@@ -46,7 +46,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), added_tokens=True)
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: whole conversations under limits on tokens, segments and the assistant's tokens."""
+    return packing.pack_examples(packing.conversation_examples(table(spark, sf_dir, "conversations")), segments=16, loss=512)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +66,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), with_text=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_language_id, op4_lm_scoring, op5_warc, op6_quality_classifier, op7_packing, op8_exact_dedup, op9_url_filter, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_language_id, op4_lm_scoring, op5_warc, op6_quality_classifier, op7_packing, pack_conversations, op8_exact_dedup, op9_url_filter, op10_sentencepiece)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle(), "op5_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
