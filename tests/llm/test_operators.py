@@ -112,12 +112,15 @@ def brute_classes(rows):
         return x
 
     ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            both = sum((sets[a] & sets[b]).values())
-            if both >= 0.8 * sum((sets[a] | sets[b]).values()):
+    index, size = defaultdict(set), {k: sum(s.values()) for k, s in sets.items()}
+    for a in ids:
+        for b in sorted(set().union(*(index[x] for x in sets[a]))):
+            both = sum(min(n, sets[b][x]) for x, n in sets[a].items() if x in sets[b])
+            if both >= 0.8 * (size[a] + size[b] - both):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
+        for x in sets[a]:
+            index[x].add(a)
     return {k: find(k) for k in sets}
 
 
@@ -128,6 +131,43 @@ def test_near_duplicates_edges(edge, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows that share an id but not their text: neither their classes mix, nor is a text without near copies lost."""
+    rng = random.Random(14)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    a, b = text(), text()
+    near = lambda x: " ".join([*x[:50], "changed", *x[51:]])
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").withColumn("pid", F.lit("clash"))
+    rows = [(1, " ".join(a)), (5, near(a)), (5, " ".join(b)), (9, near(b))]
+    got = near_dedup.near_duplicates(docs(rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in got) == [(1, 1, 2, True), (5, 1, 2, False), (5, 5, 2, True), (9, 5, 2, False)]
+    kept = near_dedup.apart(docs(rows))
+    assert kept.columns == ["doc_id", "text", "pid"] and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[2]])
+    assert sorted((r.doc_id, r.text) for r in near_dedup.apart(docs(rows[:3])).collect()) == sorted([rows[0], rows[2]])
+    # Under one id: two near copies are one document; exact repeats stay together.
+    same = [(7, " ".join(a)), (7, near(a)), (8, near(a))]
+    assert len(near_dedup.apart(docs(same)).collect()) == 1
+    assert near_dedup.apart(docs([(7, " ".join(b))] * 3 + [(8, near(b))])).count() == 3
+    # Two classes with the same smallest id.
+    both = near_dedup.near_duplicates(docs([(5, " ".join(a)), (6, near(a)), (5, " ".join(b)), (7, near(b)), (7, near(b))])).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size, r.kept) for r in both) == [(5, 5, 2, True), (5, 5, 3, True), (6, 5, 2, False), (7, 5, 3, False), (7, 5, 3, False)]
+
+
+def test_near_duplicates_recall(spark):
+    """All pairs of the documents by brute force over an inverted index; classes are equal and no pair is missed."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, sf, "documents")).collect()}
+    distinct = defaultdict(list)
+    for i, t in rows:
+        distinct[t].append(i)
+    firsts = [(min(ids), t) for t, ids in distinct.items()]
+    want = brute_classes(firsts)
+    assert {i: got[i] for i, _ in firsts if i in want} == want
+    assert all(got[i] == got[min(ids)] for t, ids in distinct.items() for i in ids if brute_shingles(t))
+    assert any(k != v for k, v in want.items())
+
+
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_duplicates_brute(spark, small):
     """Chains of edits, with centers that are far from most, in small and in large buckets."""
@@ -326,7 +366,6 @@ def test_packing(spark, edge, empty):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     extra = spark.createDataFrame([(100, "<|endoftext|> Ǆ ǅ ɐ ʼn don't I'LL  x\u2003y\u00a0z ٣٤ ½²"), (101, "naïve Œuvre “quotes” … — €")], "doc_id long, text string")
     docs = edge.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(extra)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -347,9 +386,16 @@ def test_packing(spark, edge, empty):
         for r in sorted(rows, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 1024 and (at == 1024 or at & (at - 1) == 0) and len(rows) <= packing.SEGMENTS
+        heads = sum(r.start == 0 for r in rows)
+        assert at <= 1024 and len(rows) <= packing.SEGMENTS and at - heads <= packing.LOSS
+        assert at & (at - 1) == 0 or at == packing.LOSS and not heads
+    assert any(sum(r.length for r in rows) == packing.LOSS for rows in by_sequence.values())
     assert packing.pack_documents(empty).count() == 0
-    assert packing.pack_documents(edge).agg(F.sum("length")).first()[0] >= sum(r.length for r in pieces_) - 200
+    # Null and repeated ids: each row is a document, and all its tokens are placed.
+    every = packing.pack_documents(edge).collect()
+    want = Counter((r[0], len(coder.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in edge_rows())
+    assert Counter((r.doc_id, r.doc_tokens) for r in every if r.start == 0) == want
+    assert sum(r.length for r in every) == sum(k[1] * n for k, n in want.items())
 
 
 def test_packing_query_gives_ids_of_an_unmodified_tokenizer(spark, tmp_path):
@@ -383,6 +429,29 @@ def test_pack_examples_keeps_limits(spark):
     assert len(bins) < 1.15 * max(sum(r[1] or 0 for r in rows) / 1024, sum(r[2] or 0 for r in rows) / 400)
 
 
+def test_pack_conversations(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    got = queries.pack_conversations(spark, SF).collect()
+    size, loss = Counter(), Counter()
+    for r in table(spark, SF, "conversations").collect():
+        n = len(coder.encode(r.text or "", add_special_tokens=False).ids) + 1
+        size[r.conv_id] += n
+        loss[r.conv_id] += n * (r.role == "assistant")
+    assert {r.example_id: (r.n_tokens, r.n_loss) for r in got} == {k: (size[k], loss[k]) for k in size} and len(got) == len(size)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append(r)
+    for b in bins.values():
+        b.sort(key=lambda r: r.offset)
+        assert [r.offset for r in b] == [sum(x.n_tokens for x in b[:k]) for k in range(len(b))]
+        assert len(b) == 1 or sum(r.n_tokens for r in b) <= 1024 and sum(r.n_loss for r in b) <= 512 and len(b) <= 16
+    edges = spark.createDataFrame([(None, 1, None, None), (1, None, "assistant", ""), (1, 1, "assistant", "x"), (1, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    assert {(r.example_id, r.n_tokens, r.n_loss) for r in packing.conversation_examples(edges).collect()} == {(None, 1, 0), (1, 5, 5)}
+    assert packing.pack_examples(packing.conversation_examples(edges.limit(0))).count() == 0
+
+
 # 8 exact dedup
 def test_exact_dedup_edges(edge, empty):
     rows = [(r[0], r[1] or "") for r in edge_rows()]
@@ -394,7 +463,23 @@ def test_exact_dedup_edges(edge, empty):
     assert Counter(tuple(r) for r in exact_dedup.exact_dedup(edge).collect()) == want
     # So few bits that fingerprints collide: verification settles it.
     assert Counter(tuple(r) for r in exact_dedup.exact_dedup(edge, bits=2).collect()) == want
-    assert exact_dedup.exact_dedup(empty).count() == 0
+    # All groups hot, and none.
+    for hot in (1, 2, 10**9):
+        assert Counter(tuple(r) for r in exact_dedup.exact_dedup(edge, hot=hot).collect()) == want
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.distinct_documents(empty).count() == 0
+    kept = exact_dedup.distinct_documents(edge)
+    assert kept.columns == edge.columns and Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter((i, t) for i, t in rows if i == keep[t])
+
+
+def test_exact_dedup_moves_suspects_only(spark, tmp_path):
+    """A text without copies is neither grouped nor joined: the plan reads marks where the rows lie."""
+    docs = spark.createDataFrame([(i, f"text {i % 900}") for i in range(1000)], "doc_id long, text string").repartition(4)
+    folder = work_folder(spark)
+    ledger = exact_dedup._ledger(docs, folder)
+    rows = exact_dedup._resolved(ledger, folder, exact_dedup.BITS, exact_dedup.ROWS_PER_OWNER, exact_dedup.HOT)
+    assert rows.where("group_size > 1").count() == 200 and rows.count() == 1000
+    suspects = exact_dedup.marked(ledger, spark.read.parquet(f"{folder}/suspects")).where("hit")
+    assert suspects.count() == 200
 
 
 @pytest.mark.parametrize("n", [0, 1, 50, 5000])

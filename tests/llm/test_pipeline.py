@@ -39,6 +39,18 @@ def test_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == {r.doc_id for r in apart.collect()}
 
 
+def test_near_copies_with_repeated_ids(spark):
+    """A text without near copies stays, though another text under its id goes."""
+    words = lambda c: [f"{c}{k}" for k in range(100)]
+    rows = [(1, " ".join(words("a"))), (5, " ".join([*words("a")[:-1], "x"])), (5, " ".join(words("b"))), (None, " ".join(words("c"))), (None, " ".join(words("c")))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((r[0] or 0, r[1]) for r in [rows[0], *rows[2:]])
+    single = corpus_pipeline.drop_copies(spark, docs.unionByName(docs.limit(1)), SF).collect()
+    assert len(single) == 6 and sum(r.doc_id == 1 for r in single) == 2
+
+
 def test_stages_on_edges(spark):
     edge = spark.createDataFrame(edge_rows(), SCHEMA)
     for docs in (edge, edge.limit(0)):
