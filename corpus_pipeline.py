@@ -3,12 +3,17 @@
 Each stage reads what its predecessor kept, written as Parquet, and drops what it rejects: texts without a clear language,
 texts below the quality threshold, all but the largest doc_id of equal texts, all but the smallest doc_id of near
 duplicates. The last stage returns the pieces of packed sequences.
+
+Defined results: texts that are null or have no letter have no language and go. Rows are judged one by one, whatever their
+doc_id: rows without an id, or with one that other texts have too, stay or go by their own text. Repeated rows of the document
+that stays are that document and stay together. Of equal texts the largest doc_id stays (null is the smallest), of near
+duplicates the smallest; rows without an id have no near duplicates. Very long texts are used whole. Empty tables give empty
+results. Columns beside doc_id, text and lang are passed on as they are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievestone.llm import exact_dedup, language_id, near_dedup, packing, quality_classifier, queries
 from sievestone.llm.common import crc_mod, table, work_folder, written
@@ -23,20 +28,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # By id and digest, so that rows without an id are told apart.
-    dropped = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct()
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (digest == F.col("digest"))
-    return docs.join(dropped.hint("merge"), same, "left_anti")
+    return exact_dedup.distinct_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.apart(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, added_tokens=True)
+    return packing.pack_documents(docs)
 
 
 STAGES = [("language_id", keep_languages), ("quality_classifier", keep_quality), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("packing", pack)]
