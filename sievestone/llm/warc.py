@@ -1,26 +1,30 @@
 """WARC archives: records with revisits, and a normaliser for archives that were compressed as one gzip stream.
 
 `write_archives` writes pages as WARC/1.1 records, one monolithic gzip stream a file. `normalise` inflates each such file
-once, from front to back, and rewrites every record as a gzip member of its own; `index_archives` gives the sidecar table
-of offsets, and `read_records` uses it to slice and inflate single members. All files are read and written by Spark, so
-they may lie in any store that Spark reaches, and a task that is run again writes the same file.
+once, from front to back, rewrites every record as a gzip member of its own and in the same pass writes a sidecar file with
+the offset, length and headers of each; `read_records` uses it to slice and inflate single members. All files are read and
+written by Spark, so they may lie in any store that Spark reaches, and a task that is run again writes the same file. Spark
+reads an archive as a whole, so archives are bounded in bytes: the uncompressed records of one are at most `FILE_BYTES`, or a
+single record.
 
 Spark's text writer puts bytes out as they are and a separator after each row. A gzip member ends with the highest byte
 of its uncompressed size, which is 0 below 16 MiB, so members are written without it and with the separator NUL; a larger
 record gets an empty member after it.
 
-Defined results: null html is an empty payload, null urls give records without a target URI, and control characters in
-urls are percent-encoded. Of equal payloads of at least `least` bytes the smallest page_id is the response; rows that
+Defined results: null html is an empty payload, null urls give records without a target URI, and of urls just the characters
+that can't stand in a header (spaces and control characters) are percent-encoded. Of equal payloads of at least `least` bytes the smallest page_id is the response; rows that
 repeat that page_id are responses too. Null page_ids give records without that header, are read back as null and sort
 after all others as response. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +32,11 @@ from pyspark.sql import types as T
 from .common import frugal, work_folder, written
 
 LEAST = 100
-RECORDS_PER_FILE = 4000
+FILE_BYTES = 64 << 20
 CHUNK = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
+#: Characters of a url that can't stand in a header.
+UNFIT = r"[\x00-\x20\x7f]"
 
 
 def with_revisits(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
@@ -48,8 +54,8 @@ def records(pages: DataFrame) -> DataFrame:
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     revisit = F.col("refers_to").isNotNull()
     # A space, CR, LF or other control character can't stand in a header.
-    uri = F.translate(F.col("url"), "".join(map(chr, range(1, 33))) + "\x7f", "%")
-    uri = F.when(uri == F.col("url"), uri).otherwise(F.url_encode(F.col("url")))
+    one = lambda c: F.when(c.rlike(UNFIT), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+    uri = F.when(F.col("url").rlike(UNFIT), F.array_join(F.transform(F.split("url", ""), one), "")).otherwise(F.col("url"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block_size = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))
     head = F.concat(
@@ -62,9 +68,23 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("html")), F.lit("\r\n")).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Monolithic archives of rows from with_revisits()."""
-    records(pages).write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Monolithic archives of rows from with_revisits(), in path/part=N/: each task fills one archive after the other."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = held = 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("record")).to_pylist()
+            parts = []
+            for size in sizes:
+                if held and held + size > file_bytes:
+                    part, held = part + 1, 0
+                held += size
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(parts, pa.int32())], ["record", "part"])
+
+    dealt = records(pages).mapInArrow(frugal(deal), T.StructType.fromDDL("record string, part int"))
+    dealt.write.partitionBy("part").option("compression", "gzip").option("lineSep", "\r\n").text(path)
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -121,66 +141,55 @@ def member(record: bytes, level: int = 6) -> bytes:
     return out
 
 
+_INDEX = "offset long, length long, record_id string, record_type string, digest string"
+
+
 def normalise(spark: SparkSession, path: str, to: str) -> None:
-    """Rewrites every archive below path with a member for each record, as one file in to/archive=NAME/."""
+    """Rewrites every archive below path with a member for each record, as one file in to/kind=members/archive=NAME/, and
+    writes its index, as lines of JSON, in to/kind=index/archive=NAME/."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                archive, parts, size, seq = name.as_py().rsplit("/", 1)[1].split(".")[0], [], 0, 0
+                folder, file = name.as_py().rsplit("/", 2)[1:]
+                archive = f"{file.split('.')[0]}-{folder.rpartition('=')[2]}"
+                rows, size, seq, offset = [], 0, 0, 0
                 for record in split_records(inflated(memoryview(content.as_buffer()))):
-                    parts.append(member(record)[:-1])
-                    size += len(parts[-1])
+                    whole, h = member(record), headers(record.partition(b"\r\n\r\n")[0])
+                    entry = [offset, len(whole), h["warc-record-id"], h["warc-type"], h.get("warc-payload-digest")]
+                    rows += [("members", archive, seq, whole[:-1]), ("index", archive, seq, json.dumps(dict(zip(FIELDS, entry, strict=True))).encode())]
+                    offset, seq, size = offset + len(whole), seq + 1, size + len(whole)
                     if size > 1 << 22:
-                        yield _members(archive, seq, parts)
-                        seq, parts, size = seq + len(parts), [], 0
-                if parts:
-                    yield _members(archive, seq, parts)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    members = files.mapInArrow(frugal(rewrite), T.StructType.fromDDL("archive string, seq long, member binary"))
-    members.sortWithinPartitions("archive", "seq").select("archive", F.col("member").cast("string").alias("member")).write.partitionBy("archive").option("lineSep", "\x00").option("compression", "none").text(to)
-
+                        yield _lines(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _lines(rows)
 
-def _members(archive: str, seq: int, parts: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([archive] * len(parts)), pa.array(range(seq, seq + len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["archive", "seq", "member"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    lines = files.mapInArrow(frugal(rewrite), T.StructType.fromDDL("kind string, archive string, seq long, line binary"))
+    ordered = lines.sortWithinPartitions("kind", "archive", "seq").select("kind", "archive", F.col("line").cast("string").alias("line"))
+    ordered.write.partitionBy("kind", "archive").option("lineSep", "\x00").option("compression", "none").text(to)
 
 
-_INDEX = "path string, offset long, length long, record_id string, record_type string, digest string"
+FIELDS = [x.split()[0] for x in _INDEX.split(", ")]
 
 
-def index_archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, offset, length, record_id, record_type, digest of every member of normalised archives."""
+def _lines(rows: list) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "archive", "seq", "line"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                view, at, rows = memoryview(content.as_buffer()), 0, []
-                while at < len(view):
-                    stream, begin, head = zlib.decompressobj(31), at, b""
-                    while not stream.eof:
-                        part = bytes(view[at : at + CHUNK])
-                        if not part:
-                            raise ValueError(f"a gzip member of {name} is cut off")
-                        got = stream.decompress(part)
-                        at += len(part) - len(stream.unused_data)
-                        if b"\r\n\r\n" not in head:
-                            head += got
-                    if head:  # else it is the empty member after a large record
-                        h = headers(head.partition(b"\r\n\r\n")[0])
-                        rows.append((name.as_py(), begin, at - begin, h["warc-record-id"], h["warc-type"], h.get("warc-payload-digest")))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    return files.mapInArrow(frugal(scan), T.StructType.fromDDL(_INDEX))
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """archive, offset, length, record_id, record_type, digest of every member of normalised archives, from their sidecars."""
+    lines = spark.read.option("lineSep", "\x00").text(f"{path}/kind=index")
+    return lines.select(F.col("archive").cast("string").alias("archive"), F.from_json("value", _INDEX).alias("x")).select("archive", "x.*")
 
 
 _RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of the index, each inflated on its own from its member. Payloads of responses are checked against
+    """Every record of the index (rows from read_index), each inflated on its own from its member. Payloads of responses are checked against
     their digest; a revisit has the digest and length of the payload that it refers to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +214,10 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, with_payload:
                 if rows:
                     yield _records(rows)
 
-    spans = index.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))  # an archive has a bounded number of records
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    return files.join(spans, "path").select("content", "spans").mapInArrow(frugal(read), T.StructType.fromDDL(_RECORD))
+    spans = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))  # an archive's size is bounded
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/kind=members").select(F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive"), "content")
+    # Archives move once to meet their spans, the same at any size; no side is sorted or sent to all.
+    return files.join(spans.hint("shuffle_hash"), "archive").select("content", "spans").mapInArrow(frugal(read), T.StructType.fromDDL(_RECORD))
 
 
 def _records(rows: list) -> pa.RecordBatch:
@@ -221,16 +231,19 @@ def page_number(urn: str) -> F.Column:
 
 
 def archive_round_trip(pages: DataFrame, least: int = LEAST, folder: str | None = None, with_payload: bool = False) -> DataFrame:
-    """Pages written as monolithic archives, normalised, indexed and read back: page_id, payload_bytes, payload_digest,
+    """Pages written as monolithic archives, normalised with their index and read back: page_id, payload_bytes, payload_digest,
     record_type, refers_to (and the payload of responses)."""
     spark = pages.sparkSession
     folder = folder or work_folder(spark)
     write_archives(with_revisits(pages, folder, least), f"{folder}/monolithic")
     normalise(spark, f"{folder}/monolithic", f"{folder}/normalised")
-    monolithic = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/monolithic")
-    monolithic.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(monolithic, True)
-    index = written(index_archives(spark, f"{folder}/normalised"), folder, "index")
-    got = read_records(spark, f"{folder}/normalised", index, with_payload)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    monolithic, index = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}") for x in ("monolithic", "normalised/kind=index"))
+    monolithic.getFileSystem(conf).delete(monolithic, True)
+    if index.getFileSystem(conf).exists(index):
+        got = read_records(spark, f"{folder}/normalised", read_index(spark, f"{folder}/normalised"), with_payload)
+    else:
+        got = spark.createDataFrame([], _RECORD)
     return got.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"), *["payload"] * with_payload)
 
 

@@ -325,12 +325,37 @@ def test_warc_round_trip(spark):
     import gzip
     from pathlib import Path
 
-    files = list(Path(folder.removeprefix("file://")).glob("normalised/*/*.txt"))
+    files = list(Path(folder.removeprefix("file://")).glob("normalised/kind=members/*/*.txt"))
     records = [x for f in files for x in warc.split_records([gzip.decompress(f.read_bytes())])]
     assert len(records) == len(pages)
+    index = warc.read_index(spark, f"{folder}/normalised")
+    by_archive = {f.parent.name.removeprefix("archive="): f.read_bytes() for f in files}
+    for r in index.collect():
+        record = gzip.decompress(by_archive[r.archive][r.offset : r.offset + r.length])
+        h = warc.headers(record.partition(b"\r\n\r\n")[0])
+        assert (h["warc-record-id"], h["warc-type"], h["warc-payload-digest"]) == (r.record_id, r.record_type, r.digest)
+    assert index.count() == len(pages)
+    uris = {r.record_id: r.target_uri for r in warc.read_records(spark, f"{folder}/normalised", index, False).collect()}
+    assert uris["<urn:page:1>"] == "http://a.test/%20x%0D%0Ay" and uris["<urn:page:7>"] == "http://é.test" and uris["<urn:page:3>"] is None
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_files_are_bounded_in_bytes(spark):
+    import gzip
+    from pathlib import Path
+
+    rng = random.Random(15)
+    pages = [(i, f"http://x.test/\x01{i} \U0001f600é\x7f", "".join(rng.choice("abcdef") for _ in range(rng.choice([10, 3000, 40000])))) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    folder = work_folder(spark)
+    warc.write_archives(warc.with_revisits(df, folder), f"{folder}/monolithic", file_bytes=50000)
+    sizes = [[len(x) for x in warc.split_records([gzip.decompress(f.read_bytes())])] for f in Path(folder.removeprefix("file://")).glob("monolithic/*/*.gz")]
+    assert sum(map(len, sizes)) == 60 and all(sum(x) <= 50000 + 2 * len(x) or len(x) == 1 for x in sizes) and len(sizes) > 10
+    warc.normalise(spark, f"{folder}/monolithic", f"{folder}/normalised")
+    got = warc.read_records(spark, f"{folder}/normalised", warc.read_index(spark, f"{folder}/normalised")).collect()
+    assert {(r.record_id, r.target_uri, bytes(r.payload)) for r in got} == {(f"<urn:page:{i}>", f"http://x.test/%01{i}%20\U0001f600é%7F", h.encode()) for i, _, h in pages}
+
+
 # 6 quality classifier
 def test_quality_classifier(spark, edge, empty):
     sf = "/root/testdata/sf0.01"
