@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,8 +144,12 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield reply(held)
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def _ledger(docs: DataFrame, folder: str) -> DataFrame:
-    return keyed(docs, folder, "ledger", digest=F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    return keyed(docs, folder, "ledger", digest=_digest("text"))
 
 
 def _resolved(ledger: DataFrame, folder: str, bits: int, rows_per_owner: int, hot: int) -> DataFrame:
@@ -159,8 +163,8 @@ def _resolved(ledger: DataFrame, folder: str, bits: int, rows_per_owner: int, ho
     replies = written(replies, folder, "replies")
     suspects = written(prints.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(_resolve(bits, owner_bits), WORDS), folder, "suspects")
     rows = marked(ledger.select("row", "id", "pid", "digest"), suspects).select("id", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), "digest", "hit")
-    same = rows.where("hit").groupBy("text").agg(F.first("digest").alias("digest"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = written(same.select("digest", "keep_id", "group_size"), folder, "groups")
+    same = rows.where("hit").groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = written(same.select(_digest("text").alias("digest"), "keep_id", "group_size"), folder, "groups")
     rows = rows.select("id", "doc_id", "digest", "hit")
     # Fewer than `hot` groups have more than one in `hot` of all rows.
     large = groups.where(F.col("group_size") > total // hot)
