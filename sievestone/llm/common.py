@@ -35,11 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; the JVM deletes it when it ends.
 
-    Only where that setting is absent (tests) a local folder is set instead.
+    Only on a single machine (tests) a local folder is set where that setting is absent.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="sievestone-")
