@@ -4,17 +4,20 @@ A rule rejects a text when one of its statistics (whole per mille, so that a gri
 For every stratum (language and length) and rule, labelled good texts form a holdout. A cutoff is admitted if the exact
 binomial test rejects "more than `risk` of good texts are above it": with k of n holdout texts above the cutoff, the
 chance of k or fewer successes among n at that rate must not exceed the level. Along the grid, tests run from lenient to
-strict and stop at the first failure (a fixed sequence needs no correction); across strata and rules the level is divided
-by their number (Bonferroni), and the risk by the number of rules. So, with confidence 1 - `delta`, in no stratum do the
-rules together reject more than `risk` of good texts. Where the holdout is too small, there is no cutoff and no rejection.
+strict and stop at the first failure (a fixed sequence needs no correction); across tested strata and rules the level is
+divided by their number (Bonferroni), and the risk by the number of rules. So, with confidence 1 - `delta`, in no stratum do
+the rules together reject more than `risk` of good texts. A stratum is tested if its holdout is large enough to pass a test
+on its own (`least_holdout` texts), which depends on its size alone; smaller ones have no cutoff and no rejection.
 
 Everything is built-in DataFrame expressions. Statistics are computed once and written to the shared folder; only they are
-joined with labels. The admitted cutoffs are at most (max_languages + 1) * 3 strata times 5 rules.
-
-Defined results: null and empty texts have no words and fail the base rule. Null languages and those beyond the
-`max_languages` most labelled share the stratum `*`. Repeated rows are judged alike. Labels other than 1 are not good
-texts; a document with several labels counts once for each. Three-word windows are compared by 64-bit hashes. An empty
-table gives an empty result; other columns are ignored.
+joined with labels. Every language has strata of its own. What reaches the driver is the admitted cutoffs: for each at least
+`least_holdout` labelled good texts exist, so they are fewer than the labels by that factor.
+
+Defined results: null and empty texts have no words and fail the base rule. Null languages share the stratum `*`. Repeated
+rows are judged alike. A text is good if it is labelled 1 and never otherwise; a trial of the holdout is a distinct doc_id,
+however often it is labelled or its rows are repeated (of several texts under one id, the one with the largest statistics in
+the order of RULES). Three-word windows are compared by 64-bit hashes. An empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import work_folder, written
@@ -31,7 +34,7 @@ SPACE = " \t\n\x0b\x0c\r"
 RULES = ("symbols", "dup_lines", "repeat_words", "capitals", "marks")
 GRID = (900, 800, 700, 600, 500, 400, 300, 250, 200, 150, 100, 75, 50, 30, 20, 10)
 LENGTHS = (200, 1000)
-RISK, DELTA, MAX_LANGUAGES = 0.05, 0.05, 16
+RISK, DELTA = 0.05, 0.05
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -115,40 +118,45 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when((k >= n * rate) | (n == 0), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(first) * total))
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], dict[str, list[int | None]]]:
-    """The languages with strata of their own, and per stratum ("lang|length") the cutoff of each rule or None."""
-    good = stats.where(~base_failed()).join(labels.where("quality = 1").select("doc_id"), "doc_id").select("lang", length_class().alias("length"), *[v.alias(k) for k, v in per_mille().items()])
-    # Counts of texts above each cutoff in one pass: one row for each language and length.
+def stratum() -> Column:
+    return F.concat_ws("|", F.coalesce("lang", F.lit("*")), length_class().cast("string"))
+
+
+def least_holdout(risk: float = RISK, delta: float = DELTA) -> int:
+    """Of how many texts none must exceed a cutoff for a test to pass if it were the only stratum."""
+    return math.ceil(math.log(delta / len(RULES)) / math.log1p(-risk / len(RULES)))
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """stratum, rule, cutoff for every stratum ("lang|length") and rule with an admitted cutoff."""
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = 1 and most = 1").select("doc_id")
+    shares = per_mille()
+    marks = F.struct(*[shares[r].alias(r) for r in RULES], stratum().alias("stratum"))
+    trials = stats.where(~base_failed()).join(good, "doc_id").groupBy("doc_id").agg(F.max(marks).alias("x")).select("x.*")
+    # Counts of texts above each cutoff in one pass: one row for each stratum.
     counts = [F.count(F.when(F.col(r) > c, 1)).alias(f"{r}_{c}") for r in RULES for c in GRID]
-    per_language = good.groupBy("lang", "length").agg(F.count(F.lit(1)).alias("n"), *counts)
-    languages = [r["lang"] for r in per_language.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
-    key = F.concat_ws("|", F.when(F.col("lang").isin(languages), F.col("lang")).otherwise(F.lit("*")) if languages else F.lit("*"), F.col("length").cast("string"))
-    strata = per_language.groupBy(key.alias("stratum")).agg(F.sum("n").alias("n"), *[F.sum(f"{r}_{c}").alias(f"{r}_{c}") for r in RULES for c in GRID])
-    long = strata.select("stratum", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for i, c in enumerate(GRID)])).alias("t"))
-    tests = long.select("stratum", "t.*", binomial_tail(F.col("t.k"), F.col("n"), risk / len(RULES)).alias("p")).collect()  # at most (max_languages + 1) * 3 * 80 rows
-    level = delta / max(1, len({t["stratum"] for t in tests}) * len(RULES))
-    cutoffs: dict[str, list[int | None]] = {t["stratum"]: [None] * len(RULES) for t in tests}
-    for stratum in cutoffs:
-        for at, rule in enumerate(RULES):
-            for t in sorted((t for t in tests if t["stratum"] == stratum and t["rule"] == rule), key=lambda t: t["step"]):
-                if t["p"] > level:
-                    break
-                cutoffs[stratum][at] = t["cutoff"]
-    return languages, cutoffs
+    strata = trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts).where(F.col("n") >= least_holdout(risk, delta))
+    level = delta / F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * len(RULES))  # strata are few by now
+    long = strata.withColumn("level", level).select("stratum", "n", "level", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for i, c in enumerate(GRID)])).alias("t"))
+    passed = binomial_tail(F.col("t.k"), F.col("n"), risk / len(RULES)) <= F.col("level")
+    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    tests = long.select("stratum", "t.rule", "t.step", "t.cutoff", passed.alias("passed")).withColumn("passed", F.min("passed").over(so_far))
+    return tests.where("passed").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, stratum and the rules that reject, for rows (doc_id, text, lang)."""
     stats = written(statistics(docs), work_folder(docs.sparkSession), "statistics")
-    languages, cutoffs = calibrate(stats, labels.select("doc_id", "quality"), **limits)
-    stratum = F.concat_ws("|", F.when(F.col("lang").isin(languages), F.col("lang")).otherwise(F.lit("*")) if languages else F.lit("*"), length_class().cast("string"))
+    cutoffs: dict[str, dict[str, int]] = {}
+    for r in calibrate(stats, labels.select("doc_id", "quality"), **limits).collect():
+        cutoffs.setdefault(r["rule"], {})[r["stratum"]] = r["cutoff"]
     shares = per_mille()
     rejects = []
-    for at, rule in enumerate(RULES):
-        per_stratum = [x for s, c in cutoffs.items() if c[at] is not None for x in (F.lit(s), F.lit(c[at]))]
+    for rule in RULES:
+        per_stratum = [F.lit(x) for pair in sorted(cutoffs.get(rule, {}).items()) for x in pair]
         above = shares[rule] > F.try_element_at(F.create_map(*per_stratum), F.col("stratum")) if per_stratum else F.lit(False)
         rejects.append(F.when(above, F.lit(rule)))
-    rows = stats.withColumn("stratum", stratum).withColumn("rejected_by", F.concat_ws(",", *rejects))
+    rows = stats.withColumn("stratum", stratum()).withColumn("rejected_by", F.concat_ws(",", *rejects))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (F.col("rejected_by") == "")).alias("kept"), "stratum", "rejected_by")
 
 
@@ -170,17 +178,17 @@ c AS (SELECT s.rid, doc_id, lang, len(words)::BIGINT AS n_words, len(lines)::BIG
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
              CASE WHEN n_words < {LENGTHS[0]} THEN 0 WHEN n_words < {LENGTHS[1]} THEN 1 ELSE 2 END AS length,
              {", ".join(f"{v} AS {k}" for k, v in shares.items())} FROM c),
-g AS (SELECT m.* FROM m JOIN labels l ON m.doc_id = l.doc_id WHERE quality = 1 AND NOT base_failed),
-top AS (SELECT lang FROM g WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {MAX_LANGUAGES}),
-h AS (SELECT CASE WHEN lang IN (SELECT lang FROM top) THEN lang ELSE '*' END || '|' || length AS stratum, {", ".join(RULES)} FROM g),
-u AS (UNPIVOT h ON {", ".join(RULES)} INTO NAME rule VALUE x),
+o AS (SELECT *, coalesce(lang, '*') || '|' || length AS stratum FROM m),
+g AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
+t AS (SELECT unnest(max(struct_pack({", ".join(f"{r} := {r}" for r in RULES)}, stratum := stratum))) FROM o JOIN g ON o.doc_id = g.doc_id WHERE NOT base_failed GROUP BY o.doc_id),
+h AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY stratum) AS held FROM t) WHERE held >= {least_holdout()}),
+u AS (UNPIVOT (SELECT * EXCLUDE held FROM h) ON {", ".join(RULES)} INTO NAME rule VALUE x),
 e AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k
       FROM u CROSS JOIN (VALUES {", ".join(f"({i}, {c})" for i, c in enumerate(GRID))}) v(step, cutoff) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k >= n * {rate} THEN 1.0 ELSE
              list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({rate}) + (n - j) * ln(1 - {rate})))) END AS p FROM e),
 f AS (SELECT *, bool_and(p <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM h) * {len(RULES)})) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM p),
 q AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}' AND ok) AS c_{r}" for r in RULES)} FROM f GROUP BY stratum),
-o AS (SELECT m.*, CASE WHEN lang IN (SELECT lang FROM top) THEN lang ELSE '*' END || '|' || length AS stratum FROM m),
 z AS (SELECT o.*, concat_ws(',', {", ".join(f"CASE WHEN {r} > c_{r} THEN '{r}' END" for r in RULES)}) AS rejected_by FROM o LEFT JOIN q ON o.stratum = q.stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, stratum, rejected_by FROM z
 """

@@ -96,6 +96,71 @@ def test_quality_rules_control_risk(spark):
     assert np.mean([kept[i] for i, q in labels if not q]) < 0.05
 
 
+def brute_cutoffs(rows, labels, risk=quality_rules.RISK, delta=quality_rules.DELTA):
+    """Admitted cutoffs by stratum and rule, from rows (doc_id, lang, counts as by judge and capitals and marks)."""
+    marks = defaultdict(set)
+    for i, q in labels:
+        marks[i].add(q)
+    best = {}
+    for r in rows:
+        if marks.get(r.doc_id) == {1} and not (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words):
+            length = 0 if r.n_words < 200 else 1 if r.n_words < 1000 else 2
+            share = [1000 * a // max(b, 1) for a, b in ((r.n_symbols, r.word_chars), (r.n_dup_lines, r.n_lines), (r.n_repeat_words, r.n_words), (r.n_capitals, r.word_chars), (r.n_marks, r.word_chars))]
+            best[r.doc_id] = max(best.get(r.doc_id, ([], "")), (share, f"{r.lang or '*'}|{length}"))
+    strata = defaultdict(list)
+    for share, stratum in best.values():
+        strata[stratum].append(share)
+    rate = risk / 5
+    strata = {k: v for k, v in strata.items() if (1 - rate) ** len(v) <= delta / 5}
+    out = {}
+    for stratum, shares in strata.items():
+        n = len(shares)
+        for at, rule in enumerate(quality_rules.RULES):
+            for cutoff in quality_rules.GRID:
+                k = sum(s[at] > cutoff for s in shares)
+                p = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(rate) + (n - j) * math.log(1 - rate)) for j in range(k + 1)) if k < n * rate else 1
+                if p > delta / (5 * len(strata)):
+                    break
+                out[stratum, rule] = cutoff
+    return out
+
+
+def test_quality_rules_cutoffs_brute(spark):
+    """Several strata, more languages than a few, repeated labels and repeated rows."""
+    rng = random.Random(16)
+    docs, labels = [], []
+    for lang, n, words, odd in (("en", 1500, 60, 0.004), ("de", 700, 300, 0.2), ("fr", 100, 60, 0.0), (None, 800, 60, 0.0), *((f"l{k}", 20, 60, 0.0) for k in range(30))):
+        for _ in range(n):
+            i = len(docs)
+            mark = rng.choice(["", "", "", "!", "#"])
+            text = " ".join(f"W{rng.randrange(10**6)}{mark if rng.random() < 0.1 else ''}" for _ in range(words))
+            docs.append((i, text + (" $$$$" * words if rng.random() < odd else ""), lang))
+            labels.append((i, int(rng.random() > 0.1)))
+    docs += docs[:50]
+    labels += labels[:100] + [(i, 1 - q) for i, q in labels[:40]]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    stats = quality_rules.statistics(frame).cache()
+    want = brute_cutoffs(stats.collect(), labels)
+    got = {(r.stratum, r.rule): r.cutoff for r in quality_rules.calibrate(stats, marks).collect()}
+    assert got == want and {"en|0", "*|0", "de|1"} == {s for s, _ in want} and len(set(want.values())) > 3
+    # A label given many times is one trial.
+    assert {(r.stratum, r.rule): r.cutoff for r in quality_rules.calibrate(stats, marks.unionByName(marks).unionByName(marks)).collect()} == want
+
+
+def test_quality_rules_equal_sql_where_cutoffs_exist(spark):
+    """On the larger tables some texts are rejected by cutoffs alone, and the SQL agrees on all."""
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    got = queries.op1_quality_rules(spark, sf)
+    want = con.sql(quality_rules.oracle()).select(*got.columns).fetchall()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted(want)
+    assert sum(not base and rejected != "" for *_, base, _, _, rejected in rows) > 50
+
+
 # 2 near duplicates
 def brute_shingles(text):
     w = words_of(text)
@@ -265,6 +330,30 @@ def test_language_id_learns_rows_with_null_or_repeated_ids(spark):
         assert model == language_id.train(ids.repartition(3))
 
 
+def test_language_id_brute(spark):
+    """Every text against every dictionary, one after the other."""
+    import zstandard as zstd
+
+    docs = table(spark, SF, "documents")
+    model = language_id.train(docs.where(crc_mod("doc_id", 3) != 1))
+    coders = {}
+    for lang, raw in model.items():
+        coders[lang] = zstd.ZstdCompressor(level=language_id.LEVEL, dict_data=zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+    got = {r.doc_id: r for r in language_id.classify(docs, model).collect()}
+    rows = docs.collect()
+    assert len(rows) == len(got) == 200
+    for r in rows:
+        found = got[r.doc_id]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert found.lang_pred == "und" and found.score == 0 and found.rejected
+            continue
+        raw = r.text.encode()
+        sizes = sorted((sum(len(c.compress(raw[a : a + language_id.PART_BYTES])) for a in range(0, len(raw), language_id.PART_BYTES)), lang) for lang, c in coders.items())
+        lead = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert (found.lang_pred, found.rejected) == (sizes[0][1], lead < language_id.MARGIN)
+        assert found.margin == pytest.approx(lead) and found.score == pytest.approx(1 / (1 + math.exp(-60 * lead)))
+
+
 # 4 language model
 def brute_scores(rows, held_out, mass=ngram_lm.MASS):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
