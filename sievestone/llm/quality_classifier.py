@@ -90,16 +90,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, features
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _few(batch):
-                raw = np.minimum(counts(part.column("text"), features), 65535).astype("<u2")
+                raw = counts(part.column("text"), features).astype("<u4")
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality"), pa.array([r.tobytes() for r in raw], pa.binary())], ["h", "quality", "raw"])
 
     counted = rows.mapInArrow(frugal(count), T.StructType.fromDDL("h long, quality int, raw binary"))
     # An id that many rows repeat is one labelled row, so that what is collected keeps its bound.
-    got = counted.groupBy("h", "quality").agg(F.min("raw").alias("raw")).collect()  # at most 2 * per_label rows of 2 * features bytes
+    got = counted.groupBy("h", "quality").agg(F.min("raw").alias("raw")).collect()  # at most 2 * per_label rows of 4 * features bytes
     if not got:
         return None
     got.sort(key=lambda r: (r["h"], bytes(r["raw"])))
-    raw = np.stack([np.frombuffer(r["raw"], "<u2") for r in got]).astype(np.float32)
+    raw = np.stack([np.frombuffer(r["raw"], "<u4") for r in got]).astype(np.float32)
     idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
     x = _weigh(raw, idf)
     # Leading eigenvectors of x x' give the decomposition; the sample bounds its size.
