@@ -51,8 +51,3 @@ def common_bits(a: Column, b: Column) -> Column:
 
 def union_bits(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseOR(b)).cast("bigint")
-
-
-def shared(a: Column, b: Column) -> Column:
-    """How many elements two arrays without repeats share."""
-    return F.size(F.array_intersect(a, b)).cast("bigint")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distance import METRICS
+from ..sources.tables import scratch, stored
 
 BATCH = 4096
 #: The shares that items are dealt in where queries are dealt in blocks, and the most items of a share held in memory.
@@ -137,16 +138,43 @@ def tanimoto(queries: DataFrame, items: DataFrame) -> DataFrame:
     return paired(queries, items, F.col("qid") != F.col("vid")).select("qid", "vid", common_bits(F.col("qfp"), F.col("fp")).alias("inter"), union_bits(F.col("qfp"), F.col("fp")).alias("uni"))
 
 
+def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal sets of rows (id, items) as one: representatives (id, items), and members (id, rep). Copies of a set are then
+    joined once, however many there are; null and empty sets have no representative."""
+    keyed = sets.where(F.size("items") > 0).select("id", F.array_sort(F.array_distinct("items")).alias("items"))
+    folder = scratch(sets.sparkSession)
+    reps = stored(keyed.groupBy("items").agg(F.min("id").alias("id")).select("id", "items"), folder, "sets")
+    members = keyed.join(reps.select(F.col("id").alias("rep"), "items"), "items").select("id", "rep")
+    return reps, members
+
+
 def set_overlap_join(sets: DataFrame, tenths: int) -> DataFrame:
-    """Pairs (a, b) with a < b of equal sets' ids and Jaccard of at least tenths / 10, from (id, items): sets are joined on
-    the items of their prefixes only, the rarest first, which loses no pair."""
-    sizes = sets.select("id", "items", F.size("items").alias("n")).where("n > 0")
+    """Pairs (a, b) with a < b of sets' ids and Jaccard of at least tenths / 10, from (id, items): sets are joined on the items
+    of their prefixes only, the rarest first, which loses no pair. Length and position filters run in the join: sizes must fit,
+    and what the two sets can still share after the item must suffice."""
+    folder = scratch(sets.sparkSession)
+    sizes = stored(sets.select("id", "items", F.size("items").alias("n")).where("n > 0"), folder, "sizes")
     weights = sizes.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("w"))
     ranked = sizes.select("id", "n", F.explode("items").alias("item")).join(weights, "item").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("w", "item")))
-    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1).select("id", "n", "item")
+    prefix = stored(ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * tenths / 10) + 1) & (F.col("w") > 1)).select("id", "n", "item", "at"), folder, "prefixes")
     fits = (F.col("a.n") * 10 >= F.col("b.n") * tenths) & (F.col("b.n") * 10 >= F.col("a.n") * tenths)
-    pairs = prefix.alias("a").join(prefix.alias("b"), (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    # Items before this one may all be shared too; those after it on the shorter side at most.
+    most = F.least("a.at", "b.at") + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    enough = most * (10 + tenths) >= (F.col("a.n") + F.col("b.n")) * tenths
+    pairs = prefix.alias("a").join(prefix.alias("b"), (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & fits & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     both = pairs.join(sizes.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sizes.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("bigint")
     counted = both.select("a", "b", shared.alias("inter"), (F.size("x") + F.size("y") - shared).cast("bigint").alias("uni"))
     return counted.where(F.col("inter") * 10 >= F.col("uni") * tenths)
+
+
+def lsh_pairs(items: DataFrame, radius: float, bucket: float = 1.0, tables: int = 12) -> DataFrame:
+    """Pairs (a, b), a < b, of items (vid, v) at an L2 distance of at most radius, by random projections: approximate, so some
+    pairs may be missing. Measure recall against range_search before use."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = items.where("v is not null").select("vid", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("x"))
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(vectors)
+    joined = model.approxSimilarityJoin(vectors, vectors, radius, "d")
+    return joined.select(F.col("datasetA.vid").alias("a"), F.col("datasetB.vid").alias("b"), "d").where("a < b")

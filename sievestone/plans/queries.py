@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as fn
 from ..operators import bounds, joins, search, versions
-from ..sources.tables import change_log, scratch, table
+from ..sources.tables import change_log, scratch, stored, table
 from ..streaming import windows
 from .relational import DUCKDB, SQL
 
@@ -154,6 +155,34 @@ def set_overlap_join(spark, sf_dir):
     return search.set_overlap_join(sets, 6)
 
 
+_SHINGLES = "(SELECT doc_id, list_sort(list_distinct(list_transform(list_zip(w[1:len(w) - 2], w[2:len(w) - 1], w[3:len(w)]), lambda z: z[1] || ' ' || z[2] || ' ' || z[3]))) AS items FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 2)"
+_SETS = f"(SELECT min(doc_id) AS id, items FROM {_SHINGLES} GROUP BY items)"
+
+
+def _document_sets(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_remove(F.split("text", " "), "").alias("w")).where(F.size("w") > 2)
+    # Shifted copies are zipped: inside a lambda the words would be split anew for each element. Items are 64-bit hashes.
+    shifted = F.arrays_zip(*[F.slice("w", k + 1, F.size("w") - 2).alias(f"w{k}") for k in range(3)])
+    return search.distinct_sets(rows.select("id", F.transform(shifted, lambda z: F.xxhash64(z["w0"], z["w1"], z["w2"])).alias("items")))
+
+
+@query(f"WITH s AS {_SETS}, x AS (SELECT id, len(items) AS n, unnest(items) AS item FROM s), p AS (SELECT a.id AS a, b.id AS b, count(*) AS inter, min(a.n) + min(b.n) - count(*) AS uni FROM x a JOIN x b ON a.item = b.item AND a.id < b.id GROUP BY ALL) SELECT a, b, inter, uni FROM p WHERE 2 * inter >= uni")
+def set_overlap_documents(spark, sf_dir):
+    """Documents as sets of three-word shingles: pairs of representatives of equal sets; set_members has the rest."""
+    return search.set_overlap_join(_document_sets(spark, sf_dir)[0], 5)
+
+
+@query(f"SELECT d.doc_id AS id, s.id AS rep FROM {_SHINGLES} d JOIN {_SETS} s ON d.items = s.items")
+def set_members(spark, sf_dir):
+    return _document_sets(spark, sf_dir)[1]
+
+
+@query()
+def lsh_pairs(spark, sf_dir):
+    """Approximate: no SQL; tests/test_core.py measures its recall."""
+    return search.lsh_pairs(_qi(spark, sf_dir)[1], RADIUS).select("a", "b", F.round("d", 6).alias("d"))
+
+
 def _marked(spark, sf_dir):
     q, i = _vectors(spark, sf_dir)
     marks = i.select(F.col("vid").alias("lid"), F.col("v").alias("lv"))
@@ -210,18 +239,50 @@ def bound_interval(spark, sf_dir):
     return _ranged(pairs.select("qid", "vid", fn.l2(F.col("qv"), F.col("v")).alias("d")).where(F.col("d") <= RADIUS))
 
 
-@query(_knn_sql(_L2))
+# Half of the labels become clusters: their vectors move far along an axis of their own. Others stay as they are, mixed, so
+# that some searches are certified and some fall back.
+_MOVED = "(SELECT vec_id, label, list_transform(generate_series(1, len(embedding)), lambda i: embedding[i]::DOUBLE + CASE WHEN label < 5 AND i = label + 1 THEN 4 ELSE 0 END) AS embedding FROM embeddings)"
+_MARKS = "(SELECT * FROM moved ORDER BY vec_id LIMIT 8)"
+
+
+def _clustered(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + F.when((F.col("label") < 5) & (i == F.col("label")), 4.0).otherwise(0.0))
+    i = e.select(F.col("vec_id").alias("vid"), moved.alias("v"), F.col("label").alias("cell"))
+    q = i.where(F.col("vid") % EVERY == 0).select(F.col("vid").alias("qid"), "v")
+    marks = i.select(F.col("vid").alias("lid"), F.col("v").alias("lv"))
+    return bounds.landmark_distances(q, marks).select("qid", F.col("v").alias("qv"), F.col("ld").alias("qld")), bounds.landmark_distances(i, marks)
+
+
+_DISTANCE = "sqrt(list_sum(list_transform(list_zip({}, {}), lambda z: power(z[1] - z[2], 2))))"
+_CERTIFIED = f"""
+WITH moved AS {_MOVED}, q AS (SELECT * FROM moved WHERE vec_id % {EVERY} = 0),
+pairs AS (SELECT q.vec_id AS qid, v.vec_id AS vid, v.label AS cell, {_DISTANCE.format("q.embedding", "v.embedding")} AS d FROM q JOIN moved v ON q.vec_id <> v.vec_id),
+marks AS (SELECT i.vec_id, i.label, m.vec_id AS lid, {_DISTANCE.format("i.embedding", "m.embedding")} AS ld FROM moved i, {_MARKS} m),
+ends AS (SELECT label AS cell, lid, min(ld) AS dlo, max(ld) AS dhi FROM marks GROUP BY ALL),
+boxes AS (SELECT label AS cell, i, min(embedding[i]) AS lo, max(embedding[i]) AS hi FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM moved) GROUP BY ALL),
+by_box AS (SELECT q.vec_id AS qid, cell, sqrt(sum(power(greatest(lo - embedding[i], embedding[i] - hi, 0), 2))) AS lb FROM q, boxes GROUP BY ALL),
+by_mark AS (SELECT m.vec_id AS qid, cell, max(greatest(dlo - ld, ld - dhi, 0)) AS lb FROM marks m JOIN ends e ON m.lid = e.lid WHERE m.vec_id % {EVERY} = 0 GROUP BY ALL),
+bounds AS (SELECT b.qid, b.cell, greatest(b.lb, m.lb) AS lb, row_number() OVER (PARTITION BY b.qid ORDER BY greatest(b.lb, m.lb), b.cell) AS place FROM by_box b JOIN by_mark m ON b.qid = m.qid AND b.cell = m.cell),
+near AS (SELECT p.qid, d, row_number() OVER (PARTITION BY p.qid ORDER BY d, vid) AS rk FROM pairs p JOIN bounds b ON p.qid = b.qid AND p.cell = b.cell WHERE place <= 3),
+kth AS (SELECT qid, max(d) AS kth_dist, count(*) AS found FROM near WHERE rk <= {K} GROUP BY qid),
+rest AS (SELECT qid, min(lb) AS min_excluded_lb FROM bounds WHERE place > 3 GROUP BY qid)
+SELECT qid, round(kth_dist, 6) AS kth_dist, round(min_excluded_lb, 6) AS min_excluded_lb, found >= {K} AND min_excluded_lb > kth_dist AS certified FROM kth JOIN rest USING (qid)
+"""
+
+
+@query(f"WITH moved AS {_MOVED} " + _knn_sql(_L2).replace("FROM embeddings q JOIN embeddings v", "FROM moved q JOIN moved v"))
 def speculative_knn(spark, sf_dir):
-    q, i = _marked(spark, sf_dir)
+    q, i = _clustered(spark, sf_dir)
     return _ids(bounds.speculative_knn(q, i, bounds.envelopes(i), K, 3))
 
 
-@query(f"SELECT DISTINCT vec_id AS qid, true AS all_found FROM embeddings WHERE vec_id % {EVERY} = 0")
+@query(_CERTIFIED)
 def knn_certificate(spark, sf_dir):
-    """All cells are probed, so every query is certified and no bound is left out."""
-    q, i = _marked(spark, sf_dir)
-    _, proofs = bounds.certified_knn(q, i, bounds.envelopes(i), K, 1000)
-    return proofs.select("qid", F.col("certified").alias("all_found"))
+    """Three of the cells are probed; the k-th distance is held against the bounds of all others."""
+    q, i = _clustered(spark, sf_dir)
+    _, proofs = bounds.certified_knn(q, i, bounds.envelopes(i), K, 3)
+    return proofs.select("qid", F.round("kth_dist", 6).alias("kth_dist"), F.round("min_excluded_lb", 6).alias("min_excluded_lb"), "certified")
 
 
 @query("SELECT label AS cell, i - 1 AS pos, round(min(embedding[i]::DOUBLE), 6) AS lo, round(max(embedding[i]::DOUBLE), 6) AS hi FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY ALL")
@@ -253,9 +314,11 @@ def replay(spark, sf_dir):
     return versions.replay(change_log(table(spark, sf_dir, "events")))
 
 
-@query(f"SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {_LOG} WHERE seq <= 500) WHERE r = 1 AND op = 'put'")
+@query(f"SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {_LOG} WHERE seq <= (SELECT max(event_id) // 2 FROM events)) WHERE r = 1 AND op = 'put'")
 def snapshot_asof(spark, sf_dir):
-    return versions.replay(change_log(table(spark, sf_dir, "events")), 500)
+    """As of the middle of the log."""
+    log = change_log(table(spark, sf_dir, "events"))
+    return versions.replay(log, log.agg(F.max("seq")).first()[0] // 2)
 
 
 @query(f"SELECT key, seq, until, value FROM (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM {_LOG}) WHERE op = 'put'")
@@ -345,48 +408,147 @@ def json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_extract_string(props, '$.k')::BIGINT + 1 AS next FROM events")
+def json_struct(spark, sf_dir):
+    parsed = F.from_json("props", "k bigint")
+    return table(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), (parsed["k"] + 1).alias("next"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'click') AS clicks, sum(n)::BIGINT AS total FROM (SELECT *, count(*) OVER (PARTITION BY user_id) * 0 + 1 AS n FROM events) GROUP BY user_id")
+def map_functions(spark, sf_dir):
+    """Per user a map from event type to count; looked up, measured and summed."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").count().groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("m"))
+    return counts.select("user_id", F.size("m").cast("bigint").alias("kinds"), F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0)).cast("bigint").alias("clicks"), F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def bitmap_distinct(spark, sf_dir):
+    """Exact distinct counts by bitmaps: partial bitmaps merge, so a second level needs no second look at the rows."""
+    pages = table(spark, sf_dir, "events").where("user_id > 0 OR user_id <= 0").groupBy("event_type", F.bitmap_bucket_number("user_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("bits"))
+    return pages.groupBy("event_type").agg(F.sum(F.bitmap_count("bits")).alias("users"))
+
+
+@query("SELECT event_type, true AS users_close, true AS median_close FROM events GROUP BY event_type")
+def agg_approximate(spark, sf_dir):
+    """Sketches against the exact figures: distinct users within 10 %, the median's rank within 1 %."""
+    events = table(spark, sf_dir, "events")
+    sketched = events.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("about"), F.percentile_approx("value", 0.5, 10000).alias("middle"))
+    exact = events.join(F.broadcast(sketched), "event_type").groupBy("event_type", "about").agg(F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("middle")).cast("double")).alias("rank"))
+    return exact.select("event_type", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("users_close"), (F.abs(F.col("rank") - 0.5) <= 0.01).alias("median_close"))
+
+
+@query("SELECT event_id, CASE WHEN value > 100 THEN 'high' ELSE 'low' END AS level FROM events")
+def udf_scalar(spark, sf_dir):
+    """A user's function in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def level(values: pd.Series) -> pd.Series:
+        return (values > 100).map({True: "high", False: "low"})
+
+    return table(spark, sf_dir, "events").select("event_id", level("value").alias("level"))
+
+
+@query("SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY event_type")
+def udaf_spread(spark, sf_dir):
+    """A user's aggregate: batches are reduced before the shuffle, so no group has to fit in a task."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def partial(batches):
+        for batch in batches:
+            ends = pa.Table.from_batches([batch]).group_by("event_type").aggregate([("value", "min"), ("value", "max")])
+            yield from ends.rename_columns(["event_type", "low", "high"]).to_batches()
+
+    def final(group: pa.Table) -> pa.Table:
+        return pa.table({"event_type": group.column("event_type")[:1], "spread": [pc.max(group.column("high")).as_py() - pc.min(group.column("low")).as_py()]})
+
+    parts = table(spark, sf_dir, "events").select("event_type", "value").mapInArrow(partial, "event_type string, low double, high double")
+    return parts.groupBy("event_type").applyInArrow(final, "event_type string, spread double").select("event_type", F.round("spread", 6).alias("spread"))
+
+
+@query("SELECT event_id, unnest(generate_series(1, 1 + event_id % 3)) AS step FROM events")
+def udtf_steps(spark, sf_dir):
+    """A user's table function, called for each row by a lateral join."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="step bigint")
+    class Steps:
+        def eval(self, n: int):
+            for k in range(1, n + 1):
+                yield (k,)
+
+    spark.udtf.register("sievestone_steps", Steps)
+    return spark.sql("SELECT event_id, step FROM {events}, LATERAL sievestone_steps(1 + event_id % 3)", events=table(spark, sf_dir, "events"))
+
+
 @query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
 def pivot_counts(spark, sf_dir):
     pivoted = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).count()
     return pivoted.select("user_id", F.coalesce("click", F.lit(0).cast("bigint")).alias("click"), F.coalesce("view", F.lit(0).cast("bigint")).alias("view"))
 
 
-# Streams over `events`, against the same aggregates in SQL.
+# Streams over `events`, against the same aggregates in SQL. The table arrives in slices, one micro-batch each; a seventh of
+# the rows come again with the next slice, and within a day's grace some come a slice late.
+SLICES = 4
+
+
+def _slices(spark, sf_dir) -> str:
+    """The folder of the slices, written one after the other, as a stream reads files by their time."""
+    folder, events = scratch(spark), table(spark, sf_dir, "events")
+    n = events.agg(F.max("event_id")).first()[0] // SLICES + 1
+    own = F.floor(F.col("event_id") / n)
+    late = F.col("event_id") % 11 == 5
+    first = F.when(late & (F.col("event_id") % n >= n - n // 40), own + 1).otherwise(own)
+    both = events.withColumn("slice", first).unionByName(events.where("event_id % 7 = 0").withColumn("slice", first + 1))
+    stored_ = stored(both, folder, "slices")
+    for k in range(SLICES + 2):
+        stored_.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/stream")
+    return f"{folder}/stream"
+
+
 def _stream(spark, sf_dir):
-    return windows.read_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    return windows.read_stream(spark, _slices(spark, sf_dir), table(spark, sf_dir, "events").schema)
+
+
+def _once(spark, sf_dir):
+    """The slices' distinct events, as a stream."""
+    return windows.deduplicated(_stream(spark, sf_dir), late="40 days")
 
 
 def _run(spark, df, mode="complete"):
-    folder = scratch(spark)
-    return windows.run_once(df, f"stream_{folder.rsplit('-', 1)[1]}", mode, folder)
+    return windows.run_once(df, scratch(spark), mode)
 
 
-@query("SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+_TWICE = "(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 7 = 0)"
+
+
+@query(f"SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {_TWICE} GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
     return _run(spark, windows.tumbling(_stream(spark, sf_dir)).withColumn("start", F.unix_seconds("start")))
 
 
-@query("SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT - b * 86400 AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) t(b) GROUP BY ALL")
+@query(f"SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT - b * 86400 AS start, event_type, count(*) AS n FROM {_TWICE}, (VALUES (0), (1)) t(b) GROUP BY ALL")
 def stream_sliding(spark, sf_dir):
     return _run(spark, windows.sliding(_stream(spark, sf_dir)).withColumn("start", F.unix_seconds("start")))
 
 
-_SESSIONS = "SELECT user_id, epoch_us(min(ts))::BIGINT AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"
+_SESSIONS = "SELECT user_id, epoch_us(min(ts))::BIGINT AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM {})) GROUP BY user_id, s"
 
 
-@query(_SESSIONS)
+@query(_SESSIONS.format(_TWICE))
 def stream_sessions(spark, sf_dir):
     return _run(spark, windows.sessions(_stream(spark, sf_dir)).withColumn("start", F.unix_micros("start")))
 
 
-@query(_SESSIONS)
+@query(_SESSIONS.format("events"))
 def batch_sessions(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events")).withColumn("start", F.unix_micros("start"))
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf_dir):
-    return _run(spark, windows.deduplicated(_stream(spark, sf_dir)).select("event_id", "user_id"), "append")
+    """A seventh of the rows arrive twice, in different micro-batches, and leave once."""
+    return _run(spark, _once(spark, sf_dir).select("event_id", "user_id"), "append")
 
 
 @query(f"SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {_LOG}) WHERE r = 1")
@@ -394,12 +556,60 @@ def stream_latest(spark, sf_dir):
     return _run(spark, windows.latest(change_log(_stream(spark, sf_dir))))
 
 
+@query(f"SELECT key, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT user_id AS key, value FROM {_TWICE}) GROUP BY key")
+def stream_state(spark, sf_dir):
+    """A state of one's own for each key; of each key the row of the last micro-batch that had it."""
+    state = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(state)
+    spark.conf.set(state, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = _run(spark, windows.running_totals(change_log(_stream(spark, sf_dir)).select("key", "value")), "update")
+    finally:
+        spark.conf.set(state, before)
+    return out.groupBy("key").agg(F.max_by(F.struct("n", "total"), "batch").alias("x")).select("key", "x.n", F.round("x.total", 4).alias("total"))
+
+
 @query(f"SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {_LOG}) WHERE r = 1")
 def stream_versions(spark, sf_dir):
-    """The stream's last version, read back from its immutable folder."""
+    """Several versions, one for each micro-batch; the last is read back from its immutable folder."""
     root = scratch(spark)
     windows.publish_versions(windows.latest(change_log(_stream(spark, sf_dir))), root, f"{root}-state")
-    return spark.read.parquet(root).where(F.col("version") == F.lit(spark.read.parquet(root).agg(F.max("version")).first()[0])).drop("version")
+    versions_ = spark.read.parquet(root)
+    last, count = versions_.agg(F.max("version"), F.count_distinct("version")).first()
+    if count < SLICES:
+        raise ValueError(f"{SLICES} micro-batches should publish as many versions, not {count}")
+    return versions_.where(F.col("version") == last).drop("version")
+
+
+@query(f"SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM {_LOG} WHERE seq % 2 = 0) WHERE r = 1")
+def read_while_update(spark, sf_dir):
+    """A reader opens version 0 and reads it in full, again and again, while a stream publishes newer versions; what it reads
+    must never change."""
+    from ..sources.tables import read_version, write_version
+
+    root = scratch(spark)
+    write_version(windows.latest(change_log(table(spark, sf_dir, "events").where("event_id % 2 = 0"))), root, 0)
+    reader = read_version(spark, root, 0)
+    mark = lambda: reader.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("key", "seq", "op", "value"))).first()
+    before = mark()
+    writing = windows.start_versions(windows.latest(change_log(_stream(spark, sf_dir))), root, f"{root}-state", first=1)
+    while writing.isActive:
+        if mark() != before:
+            raise ValueError("a version changed while it was read")
+    writing.awaitTermination()
+    if spark.read.parquet(root).select("version").distinct().count() < SLICES + 1:
+        raise ValueError("the writer didn't publish its versions")
+    return reader
+
+
+@query(_knn_sql(_L2))
+def knn_stream(spark, sf_dir):
+    """A sustained campaign: batches of queries arrive as files, and each micro-batch meets the items as they lie."""
+    q, i = _qi(spark, sf_dir)
+    folder = scratch(spark)
+    for k in range(3):
+        q.where(F.pmod(F.xxhash64("qid"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/queries")
+    return _ids(windows.answered(windows.read_stream(spark, f"{folder}/queries", q.schema), lambda batch: search.knn(batch, i, K), folder))
 
 
 def _relational(text: str) -> Callable[[SparkSession, str], DataFrame]:

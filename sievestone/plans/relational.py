@@ -7,8 +7,9 @@ SQL = {
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n_orders FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey",
     "join_full": "SELECT c.c_custkey AS c_key, s.s_suppkey AS s_key FROM {customer} c FULL OUTER JOIN {supplier} s ON c.c_custkey = s.s_suppkey * 7",
     "join_semi": "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
-    "join_anti": "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "join_theta": "SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal",
+    "join_theta_pure": "SELECT a.s_suppkey AS a_key, r.r_regionkey AS r_key FROM {supplier} a JOIN {region} r ON a.s_acctbal < 1000 * r.r_regionkey AND a.s_nationkey <> r.r_regionkey",
     "agg_pricing": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus",
     "agg_grouping_sets": "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "agg_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",

@@ -32,14 +32,25 @@ def change_log(events: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or, where that isn't set, below a local temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that isn't set, on a single machine,
+    below a local temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     folder = f"{base.rstrip('/')}/sievestone-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
 
 
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written once and read again: what follows doesn't compute it anew, and a lost executor doesn't lose it."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 def write_version(df: DataFrame, root: str, version: int) -> str:
     """Writes an immutable version directory; readers of older versions aren't disturbed."""
     path = f"{root}/version={version}"
