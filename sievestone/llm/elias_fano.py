@@ -1,4 +1,4 @@
-"""Elias-Fano coded monotone sequences in memory-mapped files, queried in vectors, and a two-level trie made of them."""
+"""Elias-Fano coded monotone sequences in memory-mapped files, queried in vectors, and trie levels made of them."""
 
 from __future__ import annotations
 
@@ -19,10 +19,29 @@ def mapped(array: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, array.dtype, len(array))
 
 
-def _words(bits: np.ndarray) -> np.ndarray:
-    """Bits (0 or 1) packed in 64-bit words, the first bit lowest, with a word to spare."""
-    packed = np.packbits(bits, bitorder="little")
-    return np.frombuffer(packed.tobytes() + b"\0" * (16 - len(packed) % 8), np.uint64)
+def _packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """Values of at most `bits` bits one after the other in 64-bit words, with two words to spare."""
+    out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
+    if bits and len(values):
+        at = np.arange(len(values)) * bits
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = np.flatnonzero(shift + np.uint64(bits) > np.uint64(64))
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return out
+
+
+def _select_in(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Position of the rank-th (from 0) one of each word, by halves."""
+    place = np.zeros(len(words), np.int64)
+    for half in (32, 16, 8, 4, 2, 1):
+        below = np.bitwise_count(words & np.uint64((1 << half) - 1)).astype(np.int64)
+        up = rank >= below
+        place += half * up
+        rank = rank - below * up
+        words = words >> (np.uint64(half) * up)
+    return place
 
 
 class EliasFano:
@@ -32,17 +51,12 @@ class EliasFano:
         values = values.astype(np.uint64)
         self.n = len(values)
         self.low_bits = max(0, min(60, bits - max(0, self.n - 1).bit_length()))
-        low = np.zeros(self.n * self.low_bits, np.uint8)
-        for a in range(0, self.n, 1 << 17):  # a part at a time: the bits are bytes here
-            part = (values[a : a + (1 << 17), None] >> np.arange(self.low_bits, dtype=np.uint64)) & U1
-            low[a * self.low_bits : a * self.low_bits + part.size] = part.ravel()
-        self.low = mapped(_words(low))
+        self.low = mapped(_packed(values & np.uint64((1 << self.low_bits) - 1), self.low_bits))
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        top = int(high[-1]) + 1 if self.n else 0
-        unary = np.zeros(self.n + top + 1, np.uint8)
+        self.top = int(high[-1]) + 1 if self.n else 0
+        unary = np.zeros(-(-(self.n + self.top + 1) // 64) * 64, np.uint8)
         unary[high + np.arange(self.n)] = 1
-        self.top = top
-        words = _words(unary)
+        words = np.packbits(unary, bitorder="little").view(np.uint64)
         self.high = mapped(words)
         ones = np.bitwise_count(words).astype(np.int64)
         self.ones = mapped(np.append(0, np.cumsum(ones)))
@@ -52,14 +66,7 @@ class EliasFano:
         """Positions of the i-th (from 0) bits of one kind."""
         directory = self.ones if bit else self.zeros
         word = np.searchsorted(directory, i, side="right") - 1
-        out = np.zeros(len(i), np.int64)
-        for a in range(0, len(i), 1 << 15):
-            w = word[a : a + (1 << 15)]
-            bits = np.unpackbits(self.high[w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            seen = np.cumsum(bits == bit, axis=1, dtype=np.uint8)
-            rest = (i[a : a + (1 << 15)] - directory[w] + 1).astype(np.uint8)
-            out[a : a + (1 << 15)] = w * 64 + (seen >= rest[:, None]).argmax(axis=1)
-        return out
+        return word * 64 + _select_in(self.high[word] if bit else ~self.high[word], i - directory[word])
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -97,42 +104,43 @@ class EliasFano:
 STEP = 1024.0
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """Logarithms to base 2 of counts of at least 1, in steps of 1/1024 (an error below 0.04 %); 16 bits hold any 63-bit count."""
-    return np.minimum(65535, np.rint(np.log2(counts) * STEP)).astype(np.uint16)
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Probabilities as 16-bit codes: minus their logarithm to base 2 in steps of 1/1024 (an error below 0.04 %), down to 2**-63."""
+    return np.minimum(65535, np.rint(-np.log2(p) * STEP)).astype(np.uint16)
 
 
 def restore(codes: np.ndarray) -> np.ndarray:
-    return np.exp2(codes / STEP)
+    return np.exp2(codes / -STEP)
 
 
 CHILD_BITS = 40
 
 
 class Trie:
-    """Contexts, monotone pointers to their children, and the children's quantised values.
+    """A level of an n-gram trie: contexts, monotone pointers to their children, and the children's quantised probabilities.
 
     A child is coded relative to its context: the context's rank in the high bits, the word's hash in the low ones, so
     the whole level is one monotone sequence, and a search starts at its context's pointer."""
 
-    def __init__(self, contexts: np.ndarray, children: np.ndarray, counts: np.ndarray, context_bits: int):
-        """From pairs sorted by (context, child), each once; contexts below 2**context_bits, children below 2**CHILD_BITS."""
+    def __init__(self, contexts: np.ndarray, children: np.ndarray, p: np.ndarray, context_bits: int):
+        """From n-grams sorted by (context, child), each once; contexts below 2**context_bits, children below 2**CHILD_BITS."""
         begin = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(contexts) else np.zeros(0, np.int64)
         rank = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(contexts))))
         self.contexts = EliasFano(contexts[begin], context_bits)
         self.pointers = EliasFano(np.append(begin, len(contexts)), max(1, int(len(contexts)).bit_length()))
         bits = CHILD_BITS + max(1, int(len(begin)).bit_length())
         self.children = EliasFano((rank.astype(np.uint64) << np.uint64(CHILD_BITS)) | children, bits)
-        self.codes = mapped(quantise(np.maximum(counts, 1)))
+        self.codes = mapped(quantise(p))
 
-    def find(self, contexts: np.ndarray, of: np.ndarray, children: np.ndarray) -> np.ndarray:
-        """Restored counts of the pairs (contexts[of], children), 0 for those unknown."""
+    def find(self, contexts: np.ndarray, of: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the n-grams (contexts[of], children), and which of them are known."""
         rank, known = self.contexts.successor(contexts)
         pointer = np.zeros(len(contexts), np.int64)
         pointer[known] = self.pointers.access(rank[known]).astype(np.int64)
-        out = np.zeros(len(children))
+        codes, found = np.zeros(len(children), np.uint16), np.zeros(len(children), bool)
         asked = np.flatnonzero(known[of])
         key = (rank[of[asked]].astype(np.uint64) << np.uint64(CHILD_BITS)) | children[asked]
         at, equal = self.children.successor(key, pointer[of[asked]])
-        out[asked[equal]] = restore(self.codes[at[equal]])
-        return out
+        codes[asked[equal]] = self.codes[at[equal]]
+        found[asked[equal]] = True
+        return codes, found

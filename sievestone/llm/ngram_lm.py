@@ -1,29 +1,32 @@
-"""Bigram language model on an Elias-Fano trie that is dealt among executors, and its scores of all texts.
-
-The corpus is worked through in blocks (some MB of text each). A block sends each distinct word and word pair once, with
-its count in training texts, to the shard that owns it, and gets an answer in the same order; so a word or pair that is
-everywhere weighs one entry a block. A pair's shard follows from the first bits of both words' hashes, so a frequent
-context is split among shards too. A word shard answers exact counts; a pair shard builds its part of the trie
-(`elias_fano.Trie`: contexts, monotone pointers, children relative to their context, values quantised to 16 bits, all in
-memory-mapped files) and answers by successor search. Answers and the blocks' tokens meet by block, where texts are scored:
-
-    p(w) = (c(w) + 1) / (N + V + 1)          p(w | u) = (c(u w) + mass * p(w)) / (c(u) + mass)
-
-with the context of a text's first token being its begin, which counts as often as ends do. The number of shards follows
-the corpus, so a shard's share stays the same; nothing but N and V reaches the driver.
-
-Order 2 is a choice: in the corpora at hand distinct trigrams number 83 % of the tokens (distinct pairs 65 %), so a level of
-them would cost more than all the rest.
-
-Blocks are named by a digest of their content, so a block that is computed again meets its answers, whatever executor
-does it. Defined results: null texts are empty, an empty text is one end token. Words are 64-bit hashes, children 40-bit
-hashes within their context. Without training texts N is 0 and scores are those of an unknown word (p = 1). Repeated
-rows are scored alike and count as often as they occur. An empty table gives an empty result; columns other than doc_id
-and text are ignored.
+"""Trigram language model on an Elias-Fano trie that is dealt among executors, and its scores of all texts.
+
+The corpus is cut in blocks (some MB of text each), whose tokens are written once to the shared folder, bucketed by block, and
+never shuffled. The trie grows level by level. For each level a block sends every distinct n-gram once, with its count in
+training texts, to the shard that owns it, and gets an answer in the same order; so an n-gram that is everywhere weighs one
+entry a block. What a level needs of the one before is sent along: the context's count and the word's probability after the
+shorter context. So a shard, though it may hold just a part of a frequent context, knows all for the final, smoothed
+probabilities, and its trie holds nothing else:
+
+    p1(w) = (c(w) + 1) / (N + V + 1)
+    p2(w | v) = (c(v w) + mass * p1(w)) / (c(v) + mass)
+    p3(w | u v) = (c(u v w) + mass * p2(w | v)) / (c(u v) + mass)
+
+A text begins with two begins, which count as often as texts do. A shard of a level is the part of the trie whose contexts'
+and words' hashes have given first bits (`elias_fano.Trie`: contexts, monotone pointers, children relative to their context,
+probabilities quantised to 16 bits, all in memory-mapped files); every n-gram asked for is looked up by successor search from
+its context's pointer, and one that isn't there is answered by backing off. Words are counted exactly. The number of shards
+follows the corpus, so a shard's share stays the same; nothing but N, V and the number of training texts reaches the driver.
+
+Blocks are numbered when they are written, and all that follows reads what was written, so a lost executor's part is computed
+again with the same numbers. Defined results: null texts are empty, an empty text is one end token. Words are 64-bit hashes,
+contexts and children in a shard 40-bit hashes. Without training texts N is 0 and scores are those of an unknown word
+(p = 1). Repeated rows are scored alike and count as often as they occur; rows without a doc_id keep none. Very long texts
+are scored whole, in a block of their own. An empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,260 +35,371 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, lower_ascii, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
-from .elias_fano import CHILD_BITS, EliasFano, Trie
+from .common import frugal, lower_ascii, mix, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
+from .elias_fano import CHILD_BITS, EliasFano, Trie, quantise, restore
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARD_BITS = 6
 #: Beyond so many shuffle partitions, one works through several shards in turn.
 MOST_PARTITIONS = 1 << 16
 MASS = 8.0
 END, BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
+CONTEXT_BITS = 40
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed string, the bytes of equal weight together."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _stretch(raw: bytes, *shapes: tuple[str, int]) -> list[np.ndarray]:
+    """The arrays of _squeeze, given their types and lengths."""
+    import zstandard
+
+    data, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8), 0, []
+    for kind, n in shapes:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def _five(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _eight(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :5] = raw
+    return wide.view("<u8").ravel()
 
 
 class Block:
     """The tokens of some texts as local word numbers in the order of their hashes."""
 
-    def __init__(self, texts: pa.Array, train: np.ndarray):
-        import hashlib
-
-        data, offs = text_buffer(texts)
-        self.name = hashlib.sha1(data.tobytes() + offs.tobytes() + train.tobytes()).digest()
-        n = len(texts)
-        data = lower_ascii(data)
-        starts, ends, rows = word_spans(data, offs)
-        tokens = np.full(len(starts) + n, END, np.uint64)
-        tokens[np.arange(len(starts)) + rows] = span_hashes(data, starts, ends)
-        self.sizes = np.diff(row_bounds(rows, n)) + 1
+    def __init__(self, row: dict):
+        v, n, m = row["v"], row["n"], row["m"]
+        self.words = np.frombuffer(row["words"], "<u8")
+        (self.token,) = _stretch(row["tokens"], ("<u4", m))
+        self.token = self.token.astype(np.int64)
+        self.sizes, self.ids, self.null, self.train = _stretch(row["texts"], ("<i8", n), ("<i8", n), ("u1", n), ("u1", n))
         self.row = np.repeat(np.arange(n), self.sizes)
-        self.words, local = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-        self.token, begin = local[:-1], local[-1]
-        self.context = np.empty_like(self.token)
-        self.context[1:] = self.token[:-1]
-        self.context[np.cumsum(self.sizes) - self.sizes] = begin
-        self.begin, self.end = begin, int(np.searchsorted(self.words, END))
-        self.weight = train[self.row].astype(np.float64)
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.token, self.weight, len(self.words)).astype(np.int64)
-
-    def pairs(self, shard_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all distinct pairs by (shard, context, word): shard, context, word; and each token's pair."""
-        first, second = (shard_bits + 1) // 2, shard_bits // 2
-        left = (self.words >> np.uint64(64 - first)).astype(np.int64) if first else np.zeros(len(self.words), np.int64)
-        right = (self.words >> np.uint64(64 - second)).astype(np.int64) if second else np.zeros(len(self.words), np.int64)
-        shard = (left[self.context] << second) | right[self.token]
-        v = len(self.words)
-        keys, of = np.unique((shard * v + self.context) * v + self.token, return_inverse=True)
-        return keys // (v * v), keys // v % v, keys % v, of
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.RecordBatch]]:
-    for batch in batches:
-        for part in text_slices(batch, limit=BLOCK_BYTES):
-            yield Block(part.column("text"), part.column("train").to_numpy(zero_copy_only=False)), part
+        self.weight = self.train[self.row].astype(np.float64)
+        self.begin = int(np.searchsorted(self.words, BEGIN))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.v = v
+
+    def _asked(self, shard_bits: int, hashes: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams by (shard, context, word), contexts numbered in the order of their hashes: shard, context, word;
+        and each token's n-gram."""
+        a, b = (shard_bits + 1) // 2, shard_bits // 2
+        left, right = ((x >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(x), np.int64) for x, k in ((hashes, a), (self.words, b)))
+        key = (((left[context] << b) | right[self.token]) * len(hashes) + context) * self.v + self.token
+        keys, of = np.unique(key, return_inverse=True)
+        rest = keys // self.v
+        return rest // len(hashes), rest % len(hashes), keys % self.v, of
+
+    def pairs(self, shard_bits: int):
+        context = np.empty_like(self.token)
+        context[1:] = self.token[:-1]
+        context[self.first] = self.begin
+        return self.words, *self._asked(shard_bits, self.words, context)
+
+    def triples(self, shard_bits: int, pairs: tuple):
+        """As pairs(); contexts are the distinct pairs and, last before they are ordered, the pair of two begins."""
+        _, _, left, right, of = pairs
+        hashes = mix(mix(np.append(self.words[left], BEGIN) * np.uint64(0x9E3779B97F4A7C15)) + np.append(self.words[right], BEGIN))
+        order = np.argsort(hashes)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        context = np.empty_like(self.token)
+        context[1:] = of[:-1]
+        context[self.first] = len(left)
+        return hashes[order], order, *self._asked(shard_bits, hashes[order], rank[context])
+
+
+_BLOCK = "block long, v int, n int, m int, words binary, counts binary, tokens binary, texts binary, trained long"
+
+
+def _cut(block_bytes: int):
+    """Rows (doc_id, text, train) as blocks of at most so many bytes of text, or a single row."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 24
+        held, size = [], 0
+
+        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            data, offs = text_buffer(whole.column("text").combine_chunks() if whole.num_rows else pa.array([], pa.string()))
+            n, train = whole.num_rows, whole.column("train").to_numpy().astype(np.uint8)
+            starts, ends, rows = word_spans(data, offs)
+            tokens = np.full(len(starts) + n, END, np.uint64)
+            tokens[np.arange(len(starts)) + rows] = span_hashes(lower_ascii(data), starts, ends)
+            sizes = np.diff(row_bounds(rows, n)) + 1
+            words, local = np.unique(np.append(tokens, BEGIN), return_inverse=True)
+            counts = np.bincount(local[:-1], np.repeat(train, sizes), len(words)).astype("<u4")
+            ids = whole.column("doc_id")
+            texts = _squeeze(sizes.astype("<i8"), ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy().astype("u1"), train)
+            values = [number, len(words), n, len(tokens), words.tobytes(), _squeeze(counts), _squeeze(local[:-1].astype("<u4")), texts, int(train.sum())]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
 
+        for batch in batches:
+            for part in text_slices(batch, limit=block_bytes):
+                more = part.column("text").nbytes
+                if held and size + more > block_bytes:
+                    yield block(held)
+                    held, size, number = [], 0, number + 1
+                held.append(part)
+                size += more
+        if held:
+            yield block(held)
 
-def _pack(array: np.ndarray) -> bytes:
-    import zstandard
+    return cut
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
 
+_ASK = "shard int, block long, body binary"
+_REPLY = "block long, shard int, body binary"
 
-def _unpack(raw: bytes, kind: str) -> np.ndarray:
-    import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+def _batch(rows: list, names: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-_ASK = "shard int, block binary, words binary, fanout binary, children binary, counts binary"
-_CHILD_BYTES = CHILD_BITS // 8
+def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, slice]]:
+    edges = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(sorted_)], strict=True):
+        yield int(sorted_[a]), slice(a, b)
 
 
-def _child(words: np.ndarray, shard_bits: int) -> np.ndarray:
-    """The bits of a word's hash after those that name the shard."""
-    return (words << np.uint64(shard_bits // 2)) >> np.uint64(64 - CHILD_BITS)
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by their first column, a list for each of its values."""
+    held: list = []
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != r[0]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
 
-def _ask(shard_bits: int):
+# Level 1: words, counted exactly.
+def _ask_words(shard_bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in _blocks(batches):
-            rows = []
-            shard, counts = (block.words >> np.uint64(64 - shard_bits)).astype(np.int64), block.word_counts()
-            edges = np.searchsorted(shard, np.arange((1 << shard_bits) + 1))
-            for s in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[s], edges[s + 1])
-                rows.append((int(s), block.name, block.words[part].tobytes(), None, None, _pack(counts[part].astype("<u4"))))
-            shard, context, word, of = block.pairs(shard_bits)
-            counts = np.bincount(of, block.weight, len(word)).astype("<u4")
-            children = _child(block.words, shard_bits)[word]
-            edges = np.searchsorted(shard, np.arange((1 << shard_bits) + 1))
-            for s in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[s], edges[s + 1])
-                own = context[part]
-                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                fanout = np.diff(np.append(begin, len(own))).astype("<u4")
-                raw = children[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CHILD_BYTES]
-                rows.append(((1 << shard_bits) + int(s), block.name, block.words[own[begin]].tobytes(), _pack(fanout), raw.tobytes(), _pack(counts[part])))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _ASK.split(", ")])
+        for batch in batches:
+            for block, v, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "v", "words", "counts")), strict=True):
+                words, (counts,) = np.frombuffer(words, "<u8"), _stretch(counts, ("<u4", v))
+                shards = (words >> np.uint64(64 - shard_bits)).astype(np.int64)
+                yield _batch([(s, block, _squeeze(words[part], counts[part])) for s, part in _runs(shards)], _ASK)
 
     return ask
 
 
-_ANSWER = "kind string, shard int, block binary, counts binary, total long, distinct long"
-
-
-def _answer(shard_bits: int):
-    kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    names = [x.split()[0] for x in _ANSWER.split(", ")]
-
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    def words(shard: int, held: list) -> pa.RecordBatch:
-        asked = [np.frombuffer(r[2], "<u8") for r in held]
-        every, counts = np.concatenate(asked), np.concatenate([_unpack(r[5], "<u4") for r in held]).astype(np.int64)
-        seen = counts > 0
-        known, of = np.unique(every[seen], return_inverse=True)
-        total = np.bincount(of, counts[seen], len(known)).astype(np.int64)
-        low = np.uint64(shard << (64 - shard_bits))
-        level = EliasFano(known - low, 64 - shard_bits)
-        at, equal = level.successor(every - low)
-        got = np.zeros(len(every), np.int64)
-        got[equal] = total[at[equal]]
-        rows, a = [], 0
-        for r, x in zip(held, asked, strict=True):
-            rows.append(("answer", shard, r[1], _pack(got[a : a + len(x)].astype("<u8")), None, None))
-            a += len(x)
-        return batch_of([*rows, ("total", shard, None, None, int(total.sum()), len(known))])
-
-    def pairs(shard: int, held: list) -> pa.RecordBatch:
-        contexts, fanouts = [np.frombuffer(r[2], "<u8") for r in held], [_unpack(r[3], "<u4") for r in held]
-        children = []
-        for r in held:
-            raw = np.frombuffer(r[4], np.uint8).reshape(-1, _CHILD_BYTES)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :_CHILD_BYTES] = raw
-            children.append(wide.view("<u8").ravel())
-        counts = [_unpack(r[5], "<u4") for r in held]
-        shift = (shard_bits + 1) // 2
-        low = np.uint64(((shard - (1 << shard_bits)) >> (shard_bits // 2)) << (64 - shift)) if shift else np.uint64(0)
-        seen = [c > 0 for c in counts]
-        u = np.concatenate([np.repeat(c, f)[s] for c, f, s in zip(contexts, fanouts, seen, strict=True)]) - low
-        w = np.concatenate([x[s] for x, s in zip(children, seen, strict=True)])
-        c = np.concatenate([x[s] for x, s in zip(counts, seen, strict=True)]).astype(np.float64)
-        order = np.lexsort((w, u))
-        u, w, c = u[order], w[order], c[order]
-        first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]))) if len(u) else np.zeros(0, np.int64)
-        c = np.add.reduceat(c, first) if len(first) else c
-        trie = Trie(u[first], w[first], c, 64 - shift)
-        rows = []
-        for r, x, f, y in zip(held, contexts, fanouts, children, strict=True):
-            found = trie.find(x - low, np.repeat(np.arange(len(x)), f), y)
-            rows.append(("answer", shard, r[1], _pack(found.astype("<f4")), None, None))
-        return batch_of(rows)
+_WORDS = "block long, shard int, body binary, total long, distinct long"
 
+
+def _answer_words(shard_bits: int):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            for r in zip(*(batch.column(x.split()[0]).to_pylist() for x in _ASK.split(", ")), strict=True):
-                if held and held[0][0] != r[0]:
-                    yield (words if held[0][0] < 1 << shard_bits else pairs)(held[0][0], held)
-                    held = []
-                held.append(r)
-        if held:
-            yield (words if held[0][0] < 1 << shard_bits else pairs)(held[0][0], held)
+        import zstandard
+
+        for held in _held(batches):
+            shard = held[0][0]
+            asked = [_stretch(r[2], ("<u8", n), ("<u4", n)) for r in held for n in [zstandard.frame_content_size(r[2]) // 12]]
+            every, counts = np.concatenate([a for a, _ in asked]), np.concatenate([c for _, c in asked]).astype(np.int64)
+            seen = counts > 0
+            known, of = np.unique(every[seen], return_inverse=True)
+            total = np.bincount(of, counts[seen], len(known)).astype(np.int64)
+            low = np.uint64(shard << (64 - shard_bits))
+            at, equal = EliasFano(known - low, 64 - shard_bits).successor(every - low)
+            got = np.zeros(len(every), np.int64)
+            got[equal] = total[at[equal]]
+            ends = np.cumsum([len(a) for a, _ in asked])
+            rows = [(r[1], shard, _squeeze(got[e - len(a) : e].astype("<u8")), None, None) for r, (a, _), e in zip(held, asked, ends, strict=True)]
+            yield _batch([*rows, (None, shard, None, int(total.sum()), len(known))], _WORDS)
+
+    return answer
+
+
+# Levels 2 and 3: n-grams with what is known of their contexts and words.
+def _messages(block: int, shard_bits: int, level: int, words: np.ndarray, hashes: np.ndarray, asked: tuple, counts: np.ndarray, totals: np.ndarray, lower: np.ndarray) -> list[tuple]:
+    """One message for each shard: its contexts with fan-out and total, the words that occur in it, and for each n-gram the word's
+    place among these and its count. `lower` are codes, by word on level 2 and by n-gram on level 3."""
+    shard, context, word = asked
+    rows = []
+    a, b = (shard_bits + 1) // 2, shard_bits // 2
+    for s, part in _runs(shard):
+        own, w = context[part], word[part]
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        fanout = np.diff(np.append(begin, len(own)))
+        few, place = np.unique(w, return_inverse=True)
+        sizes = np.array([len(begin), len(own), len(few)], "<u4").tobytes()
+        codes = lower[few] if level == 2 else lower[part]
+        left, right = (hashes[own[begin]] << np.uint64(a)) >> np.uint64(64 - CONTEXT_BITS), (words[few] << np.uint64(b)) >> np.uint64(64 - CHILD_BITS)
+        body = _squeeze(_five(left), fanout.astype("<u4"), totals[own[begin]].astype("<u8"), _five(right), codes.astype("<u2"), place.astype("<u4"), counts[part].astype("<u4"))
+        rows.append((s, block, sizes + body))
+    return rows
+
+
+def _answer_ngrams(level: int, mass: float):
+    def unpacked(body: bytes) -> tuple[np.ndarray, ...]:
+        c, n, d = np.frombuffer(body[:12], "<u4").tolist()
+        left, fanout, totals, right, codes, place, counts = _stretch(body[12:], ("V5", c), ("<u4", c), ("<u8", c), ("V5", d), ("<u2", d if level == 2 else n), ("<u4", n), ("<u4", n))
+        left, right = (_eight(x.view(np.uint8).reshape(-1, 5)) for x in (left, right))
+        return left, fanout.astype(np.int64), totals, right[place], codes[place] if level == 2 else codes, counts
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            parts = [unpacked(r[2]) for r in held]
+            lefts, fanouts, totals, children, lowers, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            contexts, back = np.unique(lefts, return_inverse=True)
+            if len(contexts) >= 1 << (64 - CHILD_BITS):
+                raise ValueError("a shard has too many contexts")
+            rank = np.repeat(back, fanouts)
+            keys, of = np.unique((rank.astype(np.uint64) << np.uint64(CHILD_BITS)) | children, return_inverse=True)
+            context, child = (keys >> np.uint64(CHILD_BITS)).astype(np.int64), keys & np.uint64((1 << CHILD_BITS) - 1)
+            count = np.bincount(of, counts, len(keys))
+            total = np.zeros(len(contexts))
+            total[back] = totals
+            low = np.zeros(len(keys), np.uint16)
+            low[of] = lowers
+            backed_off = mass * restore(low) / (total[context] + mass)
+            seen = np.flatnonzero(count)
+            trie = Trie(contexts[context[seen]], child[seen], backed_off[seen] + count[seen] / (total[context[seen]] + mass), CONTEXT_BITS)
+            codes, known = trie.find(contexts, context, child)
+            codes[~known] = quantise(backed_off[~known])
+            got, end, rows = codes[of], 0, []
+            for r, x in zip(held, parts, strict=True):
+                part = slice(end, end := end + len(x[3]))
+                rows.append((r[1], r[0], _squeeze(got[part]) if level == 3 else _squeeze(got[part], count[of[part]].astype("<u8"))))
+            yield _batch(rows, _REPLY)
 
     return answer
 
 
-def _tokens(shard_bits: int):
-    """Blocks again, as rows to meet their answers."""
+def _own_row(blocks: pa.Table) -> dict:
+    return blocks.slice(0, 1).to_pylist()[0]
+
+
+def _sorted_bodies(replies: pa.Table, level: int) -> list[bytes]:
+    rows = sorted((s, b) for lv, s, b in zip(*(replies.column(c).to_pylist() for c in ("level", "shard", "body")), strict=True) if lv == level)
+    return [b for _, b in rows]
+
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in _blocks(batches):
-            first, second = (shard_bits + 1) // 2, shard_bits // 2
-            cuts = [np.searchsorted(block.words >> np.uint64(64 - b) if b else np.zeros(len(block.words), np.uint64), np.arange((1 << b) + 1, dtype=np.uint64)) for b in (first, second)]
-            ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-            null = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            train = part.column("train").to_numpy(zero_copy_only=False)
-            meta = np.array([len(block.words), block.begin, block.end, len(ids)], "<i8")
-            values = [block.name, -1, meta.tobytes(), _pack(block.token.astype("<u4").view(np.uint8).reshape(-1, 4).T), block.sizes.astype("<i4").tobytes(), ids.tobytes(), null.tobytes(), train.tobytes(), cuts[0].astype("<i8").tobytes(), cuts[1].astype("<i8").tobytes()]
-            kinds = (pa.binary(), pa.int32(), *[pa.binary()] * 8)
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], [x.split()[0] for x in _TOKENS.split(", ")])
+def _word_counts(replies: pa.Table, v: int, begin: int, texts: int) -> np.ndarray:
+    import zstandard
+
+    bodies = _sorted_bodies(replies, 1)
+    counts = np.concatenate([_stretch(b, ("<u8", zstandard.frame_content_size(b) // 8))[0] for b in bodies]).astype(np.int64)
+    if len(counts) != v:
+        raise ValueError("a block's answers don't fit its words")
+    counts[begin] = texts
+    return counts
+
+
+def _ask_pairs(shard_bits: int, total: int, distinct: int, texts: int):
+    def ask(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return pa.Table.from_batches([_batch([], _ASK)])
+        row = _own_row(blocks)
+        block = Block(row)
+        counts = _word_counts(replies, block.v, block.begin, texts)
+        hashes, *asked, of = block.pairs(shard_bits)
+        own = np.bincount(of, block.weight, len(asked[0]))
+        return pa.Table.from_batches([_batch(_messages(row["block"], shard_bits, 2, block.words, hashes, tuple(asked), own, counts, quantise((counts + 1) / (total + distinct + 1))), _ASK)])
+
+    return ask
+
+
+def _ask_triples(shard_bits: int, texts: int):
+    def ask(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return pa.Table.from_batches([_batch([], _ASK)])
+        import zstandard
+
+        row = _own_row(blocks)
+        block = Block(row)
+        pairs = block.pairs(shard_bits)
+        got = [_stretch(b, ("<u2", n), ("<u8", n)) for b in _sorted_bodies(replies, 2) for n in [zstandard.frame_content_size(b) // 10]]
+        codes, counts = (np.concatenate(x) for x in zip(*got, strict=True))
+        if len(codes) != len(pairs[1]):
+            raise ValueError("a block's answers don't fit its pairs")
+        hashes, order, *asked, of = block.triples(shard_bits, pairs)
+        own = np.bincount(of, block.weight, len(asked[0]))
+        lower = np.zeros(len(asked[0]), np.uint16)
+        lower[of] = codes[pairs[4]]
+        return pa.Table.from_batches([_batch(_messages(row["block"], shard_bits, 3, block.words, hashes, tuple(asked), own, np.append(counts, np.uint64(texts))[order], lower), _ASK)])
 
-    return send
+    return ask
 
 
-_TOKENS = "block binary, shard int, meta binary, tokens binary, sizes binary, ids binary, nulls binary, train binary, left binary, right binary"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(shard_bits: int, total: int, distinct: int, mass: float):
-    """Rows sorted by block and shard: each block's tokens, then its answers."""
-
-    def scored(rows: list) -> list[pa.RecordBatch]:
-        heads = [r for r in rows if r[1] < 0]
-        answers = {r[1]: r[-1] for r in rows if r[1] >= 0}  # blocks of the same content have the same answers
-        if not heads or not answers:
-            raise ValueError("a block's tokens and answers didn't meet: the input changed while it was read")
-        s = 1 << shard_bits
-        counts = np.concatenate([_unpack(answers[k], "<u8").astype(np.int64) for k in sorted(answers) if k < s])
-        pairs = np.concatenate([_unpack(answers[k], "<f4") for k in sorted(answers) if k >= s])
-        out = []
-        for head in heads:
-            v, begin, end, n = np.frombuffer(head[2], "<i8").tolist()
-            sizes = np.frombuffer(head[4], "<i4").astype(np.int64)
-            token = np.ascontiguousarray(_unpack(head[3], np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-            left, right = (np.frombuffer(head[k], "<i8") for k in (8, 9))
-            context = np.empty_like(token)
-            context[1:] = token[:-1]
-            context[np.cumsum(sizes) - sizes] = begin
-            of = lambda cuts: np.searchsorted(cuts, np.arange(v), side="right") - 1
-            shard = (of(left)[context] << (shard_bits // 2)) | of(right)[token]
-            keys, which = np.unique((shard * v + context) * v + token, return_inverse=True)
-            if len(counts) != v or len(pairs) != len(keys):
-                raise ValueError("a block's answers don't fit its tokens")
-            base = (counts + 1) / (total + distinct + 1)
-            mass_of = counts.astype(np.float64)
-            mass_of[begin] = counts[end]
-            p = (pairs[which].astype(np.float64) + mass * base[token]) / (mass_of[context] + mass)
-            row = np.repeat(np.arange(n), sizes)
-            sums = [np.bincount(row, x, n) for x in (np.log10(base)[token], np.log10(p), counts[token] > 0)]
-            ids, null = np.frombuffer(head[5], "<i8"), np.frombuffer(head[6], bool)
-            out.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(~np.frombuffer(head[7], bool)), pa.array(sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], [x.split()[0] for x in _SCORE.split(", ")]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != r[0]:
-                    yield from scored(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield from scored(held)
+def _score(shard_bits: int, total: int, distinct: int, texts: int):
+    def score(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        import zstandard
+
+        names = [x.split()[0] for x in _SCORE.split(", ")]
+        if not blocks.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+        block = Block(_own_row(blocks))
+        counts = _word_counts(replies, block.v, block.begin, texts)
+        codes = np.concatenate([_stretch(b, ("<u2", zstandard.frame_content_size(b) // 2))[0] for b in _sorted_bodies(replies, 3)])
+        of = block.triples(shard_bits, block.pairs(shard_bits))[-1]
+        if len(codes) != of.max() + 1:
+            raise ValueError("a block's answers don't fit its triples")
+        base = np.log10((counts + 1) / (total + distinct + 1))
+        n = len(block.sizes)
+        sums = [np.bincount(block.row, x, n) for x in (base[block.token], codes[of] * (-np.log10(2) / 1024), counts[block.token] > 0)]
+        return pa.table([pa.array(block.ids, mask=block.null.astype(bool)), pa.array(block.train == 0), pa.array(block.sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names)
+
+    return score
+
 
-    return run
+def _bucketed(df: DataFrame, folder: str, name: str, buckets: int) -> DataFrame:
+    own, spark = f"sievestone_{uuid.uuid4().hex}", df.sparkSession
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(buckets, "block").saveAsTable(own)
+    out = spark.table(own)
+    spark.sql(f"DROP TABLE {own}")  # the files stay
+    return out
 
 
-def language_model_scores(docs: DataFrame, train: Column, mass: float = MASS, shard_bits: int | None = None) -> DataFrame:
+def language_model_scores(docs: DataFrame, train: Column, mass: float = MASS, shard_bits: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text); the model
     learns from the rows where `train` holds."""
-    folder = work_folder(docs.sparkSession)
+    spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if shard_bits is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shard_bits = max(LEAST_SHARD_BITS, (-(-size // SHARD_BYTES) - 1).bit_length())
-    asked = docs.mapInArrow(frugal(_ask(shard_bits)), T.StructType.fromDDL(_ASK))
-    dealt = asked.repartition(min(2 << shard_bits, MOST_PARTITIONS), "shard").sortWithinPartitions("shard")
-    answers = written(dealt.mapInArrow(frugal(_answer(shard_bits)), T.StructType.fromDDL(_ANSWER)), folder, "answers")
-    total, distinct = answers.where("kind = 'total'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    tokens = docs.mapInArrow(frugal(_tokens(shard_bits)), T.StructType.fromDDL(_TOKENS)).withColumn("counts", F.lit(None).cast("binary"))
-    both = tokens.unionByName(answers.where("kind = 'answer'").select("block", "shard", "counts"), allowMissingColumns=True)
-    met = both.repartition(min(1 << shard_bits, MOST_PARTITIONS), "block").sortWithinPartitions("block", "shard")
-    scored = met.mapInArrow(frugal(_score(shard_bits, int(total), int(distinct), mass)), T.StructType.fromDDL(_SCORE))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    shards = min(1 << shard_bits, MOST_PARTITIONS)
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * block_bytes)))
+    blocks = _bucketed(docs.mapInArrow(frugal(_cut(block_bytes)), T.StructType.fromDDL(_BLOCK)), folder, "blocks", buckets)
+    ddl = T.StructType.fromDDL
+    texts = int(blocks.agg(F.sum("trained")).first()[0] or 0)
+
+    def answered(asked: DataFrame, answer, schema: str, name: str, level: int) -> DataFrame:
+        dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
+        return written(dealt.mapInArrow(frugal(answer), ddl(schema)), folder, name).withColumn("level", F.lit(level))
+
+    def met(replies: DataFrame, ask, schema: str) -> DataFrame:
+        return blocks.drop("counts", "trained").groupBy("block").cogroup(replies.select("block", "level", "shard", "body").groupBy("block")).applyInArrow(ask, ddl(schema))
+
+    words = answered(blocks.select("block", "v", "words", "counts").mapInArrow(frugal(_ask_words(shard_bits)), ddl(_ASK)), _answer_words(shard_bits), _WORDS, "words", 1)
+    total, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
+    words = words.where("body is not null")
+    pairs = answered(met(words, _ask_pairs(shard_bits, total, distinct, texts), _ASK), _answer_ngrams(2, mass), _REPLY, "pairs", 2)
+    triples = answered(met(pairs, _ask_triples(shard_bits, texts), _ASK), _answer_ngrams(3, mass), _REPLY, "triples", 3)
+    scored = met(words.select("block", "level", "shard", "body").unionByName(triples.select("block", "level", "shard", "body")), _score(shard_bits, total, distinct, texts), _SCORE)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -358,28 +358,37 @@ def test_language_id_brute(spark):
 def brute_scores(rows, held_out, mass=ngram_lm.MASS):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     tokens = [(r[0], [*words_of(low(r[1])), None]) for r in rows]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t in tokens:
         if not held_out(i):
             one.update(t)
             two.update(zip([0, *t], t))
+            three.update(zip([0, 0, *t], [0, *t], t))
     n, v = sum(one.values()), len(one)
-    p = lambda w: (one[w] + 1) / (n + v + 1)
+    texts = one[None]
+    p1 = lambda w: (one[w] + 1) / (n + v + 1)
+    p2 = lambda x, w: (two[x, w] + mass * p1(w)) / ((texts if x == 0 else one[x]) + mass)
+    p3 = lambda u, x, w: (three[u, x, w] + mass * p2(x, w)) / ((texts if x == 0 else two[u, x]) + mass)
     out = []
     for i, t in tokens:
-        score = sum(math.log10((two[u, w] + mass * p(w)) / ((one[None] if u == 0 else one[u]) + mass)) for u, w in zip([0, *t], t))
-        out.append((i, len(t), sum(one[w] > 0 for w in t), n, sum(math.log10(p(w)) for w in t), score))
+        score = sum(math.log10(p3(*x)) for x in zip([0, 0, *t], [0, *t], t))
+        out.append((i, len(t), sum(one[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), score))
     return out
 
 
-def test_language_model(spark, edge, empty):
+def test_language_model(spark, edge, empty, monkeypatch):
     remainder = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
-    for rows, df in ((edge_rows(), edge), ([(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()], table(spark, SF, "documents"))):
-        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.language_model_scores(df, crc_mod("doc_id", 7) != 2).collect())
+    tables = [(edge_rows(), edge), ([(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()], table(spark, SF, "documents"))]
+    # Shards below and above the least number, one shard of everything, and many blocks.
+    for (rows, df), bits, size in [(tables[0], None, 1 << 24), (tables[1], None, 1 << 24), (tables[1], 9, 40000), (tables[1], 1, 1 << 20)]:
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_lm.language_model_scores(df, crc_mod("doc_id", 7) != 2, shard_bits=bits, block_bytes=size).collect())
         want = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in brute_scores(rows, remainder))
         assert [g[:4] for g in got] == [w[:4] for w in want]
         assert [g[4] for g in got] == pytest.approx([w[4] for w in want], rel=1e-9)
         assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-3)
+    monkeypatch.setattr(ngram_lm, "SHARD_BYTES", 1 << 10)  # the number of shards follows the corpus
+    many = ngram_lm.language_model_scores(tables[1][1], crc_mod("doc_id", 7) != 2).collect()
+    assert [r.score for r in sorted(many, key=lambda r: r.doc_id)] == pytest.approx([w[5] for w in want], rel=1e-3)
     assert ngram_lm.language_model_scores(empty, F.lit(True)).count() == 0
     untrained = ngram_lm.language_model_scores(edge, F.lit(False)).first()
     assert untrained.train_tokens == 0 and untrained.base_score == 0
@@ -396,6 +405,21 @@ def test_elias_fano(n, bits):
     assert (equal == np.isin(x, values)).all() and (at[equal] == np.searchsorted(values, x)[equal]).all()
 
 
+def test_trie_holds_probabilities():
+    rng = np.random.default_rng(21)
+    contexts = np.sort(rng.integers(0, 1 << 40, 300).astype(np.uint64))
+    of = np.sort(rng.integers(0, 300, 4000))
+    keys = np.unique((of.astype(np.uint64) << np.uint64(40)) | rng.integers(0, 1 << 40, 4000).astype(np.uint64))
+    of, children, p = (keys >> np.uint64(40)).astype(np.int64), keys & np.uint64((1 << 40) - 1), rng.random(len(keys)) ** 4 + 1e-15
+    trie = elias_fano.Trie(contexts[of], children, p, 40)
+    codes, known = trie.find(contexts, of, children)
+    assert known.all() and elias_fano.restore(codes) == pytest.approx(p, rel=4e-4)
+    assert not trie.find(contexts, of, children ^ np.uint64(1))[1].any()
+    assert not trie.find(contexts ^ np.uint64(1), of, children)[1].any()
+    empty = np.zeros(0, np.uint64)
+    assert not elias_fano.Trie(empty, empty, np.zeros(0), 40).find(contexts, of, children)[1].any()
+
+
 # 5 WARC
 def test_warc_round_trip(spark):
     big = "".join(random.Random(6).choice("abcdefghij") for _ in range(1 << 16)) * 300  # above 16 MiB
