@@ -72,18 +72,23 @@ def frugal(work):
     """A mapInArrow function that gives its memory back to the system when its task ends: Spark keeps idle workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            release()
 
     return run
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def hash_bound(wanted: int, total: int) -> int:
     """The bound of 64-bit hashes up to which 4 * wanted of total are expected; the largest hash for a small total."""
     share = 4 * wanted / max(1, total)

@@ -101,11 +101,11 @@ class EliasFano:
         return at, equal
 
 
-STEP = 1024.0
+STEP = 512.0
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    """Probabilities as 16-bit codes: minus their logarithm to base 2 in steps of 1/1024 (an error below 0.04 %), down to 2**-63."""
+    """Probabilities as 16-bit codes: minus their logarithm to base 2 in steps of 1/512 (an error below 0.07 %), down to 2**-127."""
     return np.minimum(65535, np.rint(-np.log2(p) * STEP)).astype(np.uint16)
 
 
@@ -113,7 +113,7 @@ def restore(codes: np.ndarray) -> np.ndarray:
     return np.exp2(codes / -STEP)
 
 
-CHILD_BITS = 40
+CHILD_BITS = 32
 
 
 class Trie:

@@ -19,7 +19,8 @@ follows the corpus, so a shard's share stays the same; nothing but N, V and the
 
 Blocks are numbered when they are written, and all that follows reads what was written, so a lost executor's part is computed
 again with the same numbers. Defined results: null texts are empty, an empty text is one end token. Words are 64-bit hashes,
-contexts and children in a shard 40-bit hashes. Without training texts N is 0 and scores are those of an unknown word
+contexts and children in a shard 40- and 32-bit hashes (pairs as contexts 32 bits: in a shard of two million, one in two
+thousand shares its hash with another). Without training texts N is 0 and scores are those of an unknown word
 (p = 1). Repeated rows are scored alike and count as often as they occur; rows without a doc_id keep none. Very long texts
 are scored whole, in a block of their own. An empty table gives an empty result; columns other than doc_id and text are ignored.
 """
@@ -35,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, lower_ascii, mix, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
-from .elias_fano import CHILD_BITS, EliasFano, Trie, quantise, restore
+from .common import frugal, lower_ascii, mix, release, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
+from .elias_fano import CHILD_BITS, STEP, EliasFano, Trie, quantise, restore
 
 BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 16 << 20
@@ -45,7 +46,8 @@ LEAST_SHARD_BITS = 6
 MOST_PARTITIONS = 1 << 16
 MASS = 8.0
 END, BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
-CONTEXT_BITS = 40
+#: Bits of a context in a shard, and bytes that carry them, by level.
+CONTEXT_BITS = {2: 40, 3: 32}
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -68,14 +70,26 @@ def _stretch(raw: bytes, *shapes: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
-def _five(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+def _thin(ascending: np.ndarray, size: int) -> np.ndarray:
+    """The differences of ascending integers below 2**(8 * size), in so many bytes each."""
+    return np.ascontiguousarray(np.diff(ascending, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
 
 
-def _eight(raw: np.ndarray) -> np.ndarray:
+def _wide(raw: np.ndarray, size: int) -> np.ndarray:
     wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    return wide.view("<u8").ravel()
+    wide[:, :size] = raw.view(np.uint8).reshape(-1, size)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _freed(work):
+    """A function on cogrouped tables that gives its memory back after each group."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        release()
+        return out
+
+    return run
 
 
 class Block:
@@ -83,12 +97,12 @@ class Block:
 
     def __init__(self, row: dict):
         v, n, m = row["v"], row["n"], row["m"]
-        self.words = np.frombuffer(row["words"], "<u8")
+        self.words = _wide(_stretch(row["words"], ("V8", v))[0], 8)
         (self.token,) = _stretch(row["tokens"], ("<u4", m))
         self.token = self.token.astype(np.int64)
         self.sizes, self.ids, self.null, self.train = _stretch(row["texts"], ("<i8", n), ("<i8", n), ("u1", n), ("u1", n))
-        self.row = np.repeat(np.arange(n), self.sizes)
-        self.weight = self.train[self.row].astype(np.float64)
+        self.row = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        self.weight = self.train[self.row]
         self.begin = int(np.searchsorted(self.words, BEGIN))
         self.first = np.cumsum(self.sizes) - self.sizes
         self.v = v
@@ -101,7 +115,7 @@ class Block:
         key = (((left[context] << b) | right[self.token]) * len(hashes) + context) * self.v + self.token
         keys, of = np.unique(key, return_inverse=True)
         rest = keys // self.v
-        return rest // len(hashes), rest % len(hashes), keys % self.v, of
+        return (rest // len(hashes)).astype(np.int32), (rest % len(hashes)).astype(np.int32), (keys % self.v).astype(np.int32), of.astype(np.int32)
 
     def pairs(self, shard_bits: int):
         context = np.empty_like(self.token)
@@ -146,7 +160,7 @@ def _cut(block_bytes: int):
             counts = np.bincount(local[:-1], np.repeat(train, sizes), len(words)).astype("<u4")
             ids = whole.column("doc_id")
             texts = _squeeze(sizes.astype("<i8"), ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy().astype("u1"), train)
-            values = [number, len(words), n, len(tokens), words.tobytes(), _squeeze(counts), _squeeze(local[:-1].astype("<u4")), texts, int(train.sum())]
+            values = [number, len(words), n, len(tokens), _squeeze(_thin(words, 8)), _squeeze(counts), _squeeze(local[:-1].astype("<u4")), texts, int(train.sum())]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
 
@@ -199,9 +213,9 @@ def _ask_words(shard_bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, v, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "v", "words", "counts")), strict=True):
-                words, (counts,) = np.frombuffer(words, "<u8"), _stretch(counts, ("<u4", v))
+                words, (counts,) = _wide(_stretch(words, ("V8", v))[0], 8), _stretch(counts, ("<u4", v))
                 shards = (words >> np.uint64(64 - shard_bits)).astype(np.int64)
-                yield _batch([(s, block, _squeeze(words[part], counts[part])) for s, part in _runs(shards)], _ASK)
+                yield _batch([(s, block, _squeeze(_thin(words[part] - np.uint64(s << (64 - shard_bits)), 8), counts[part])) for s, part in _runs(shards)], _ASK)
 
     return ask
 
@@ -215,13 +229,13 @@ def _answer_words(shard_bits: int):
 
         for held in _held(batches):
             shard = held[0][0]
-            asked = [_stretch(r[2], ("<u8", n), ("<u4", n)) for r in held for n in [zstandard.frame_content_size(r[2]) // 12]]
+            asked = [_stretch(r[2], ("V8", n), ("<u4", n)) for r in held for n in [zstandard.frame_content_size(r[2]) // 12]]
+            asked = [(_wide(a, 8), c) for a, c in asked]
             every, counts = np.concatenate([a for a, _ in asked]), np.concatenate([c for _, c in asked]).astype(np.int64)
             seen = counts > 0
             known, of = np.unique(every[seen], return_inverse=True)
             total = np.bincount(of, counts[seen], len(known)).astype(np.int64)
-            low = np.uint64(shard << (64 - shard_bits))
-            at, equal = EliasFano(known - low, 64 - shard_bits).successor(every - low)
+            at, equal = EliasFano(known, 64 - shard_bits).successor(every)
             got = np.zeros(len(every), np.int64)
             got[equal] = total[at[equal]]
             ends = np.cumsum([len(a) for a, _ in asked])
@@ -245,23 +259,28 @@ def _messages(block: int, shard_bits: int, level: int, words: np.ndarray, hashes
         few, place = np.unique(w, return_inverse=True)
         sizes = np.array([len(begin), len(own), len(few)], "<u4").tobytes()
         codes = lower[few] if level == 2 else lower[part]
-        left, right = (hashes[own[begin]] << np.uint64(a)) >> np.uint64(64 - CONTEXT_BITS), (words[few] << np.uint64(b)) >> np.uint64(64 - CHILD_BITS)
-        body = _squeeze(_five(left), fanout.astype("<u4"), totals[own[begin]].astype("<u8"), _five(right), codes.astype("<u2"), place.astype("<u4"), counts[part].astype("<u4"))
+        # Ascending within a shard, whose first bits all share.
+        left, right = (hashes[own[begin]] << np.uint64(a)) >> np.uint64(64 - CONTEXT_BITS[level]), (words[few] << np.uint64(b)) >> np.uint64(64 - CHILD_BITS)
+        body = _squeeze(_thin(left, CONTEXT_BITS[level] // 8), fanout.astype("<u4"), totals[own[begin]].astype("<u8"), _thin(right, CHILD_BITS // 8), codes.astype("<u2"), place.astype("<u4"), counts[part].astype("<u4"))
         rows.append((s, block, sizes + body))
     return rows
 
 
 def _answer_ngrams(level: int, mass: float):
+    wide = CONTEXT_BITS[level] // 8
+
     def unpacked(body: bytes) -> tuple[np.ndarray, ...]:
         c, n, d = np.frombuffer(body[:12], "<u4").tolist()
-        left, fanout, totals, right, codes, place, counts = _stretch(body[12:], ("V5", c), ("<u4", c), ("<u8", c), ("V5", d), ("<u2", d if level == 2 else n), ("<u4", n), ("<u4", n))
-        left, right = (_eight(x.view(np.uint8).reshape(-1, 5)) for x in (left, right))
+        left, fanout, totals, right, codes, place, counts = _stretch(body[12:], (f"V{wide}", c), ("<u4", c), ("<u8", c), (f"V{CHILD_BITS // 8}", d), ("<u2", d if level == 2 else n), ("<u4", n), ("<u4", n))
+        left, right = _wide(left, wide), _wide(right, CHILD_BITS // 8)
         return left, fanout.astype(np.int64), totals, right[place], codes[place] if level == 2 else codes, counts
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
             parts = [unpacked(r[2]) for r in held]
+            sizes = [len(x[3]) for x in parts]
             lefts, fanouts, totals, children, lowers, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             contexts, back = np.unique(lefts, return_inverse=True)
             if len(contexts) >= 1 << (64 - CHILD_BITS):
                 raise ValueError("a shard has too many contexts")
@@ -275,12 +294,12 @@ def _answer_ngrams(level: int, mass: float):
             low[of] = lowers
             backed_off = mass * restore(low) / (total[context] + mass)
             seen = np.flatnonzero(count)
-            trie = Trie(contexts[context[seen]], child[seen], backed_off[seen] + count[seen] / (total[context[seen]] + mass), CONTEXT_BITS)
+            trie = Trie(contexts[context[seen]], child[seen], backed_off[seen] + count[seen] / (total[context[seen]] + mass), CONTEXT_BITS[level])
             codes, known = trie.find(contexts, context, child)
             codes[~known] = quantise(backed_off[~known])
             got, end, rows = codes[of], 0, []
-            for r, x in zip(held, parts, strict=True):
-                part = slice(end, end := end + len(x[3]))
+            for r, size in zip(held, sizes, strict=True):
+                part = slice(end, end := end + size)
                 rows.append((r[1], r[0], _squeeze(got[part]) if level == 3 else _squeeze(got[part], count[of[part]].astype("<u8"))))
             yield _batch(rows, _REPLY)
 
@@ -361,7 +380,7 @@ def _score(shard_bits: int, total: int, distinct: int, texts: int):
             raise ValueError("a block's answers don't fit its triples")
         base = np.log10((counts + 1) / (total + distinct + 1))
         n = len(block.sizes)
-        sums = [np.bincount(block.row, x, n) for x in (base[block.token], codes[of] * (-np.log10(2) / 1024), counts[block.token] > 0)]
+        sums = [np.bincount(block.row, x, n) for x in (base[block.token], codes[of] * (-np.log10(2) / STEP), counts[block.token] > 0)]
         return pa.table([pa.array(block.ids, mask=block.null.astype(bool)), pa.array(block.train == 0), pa.array(block.sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names)
 
     return score
@@ -389,17 +408,18 @@ def language_model_scores(docs: DataFrame, train: Column, mass: float = MASS, sh
     ddl = T.StructType.fromDDL
     texts = int(blocks.agg(F.sum("trained")).first()[0] or 0)
 
-    def answered(asked: DataFrame, answer, schema: str, name: str, level: int) -> DataFrame:
+    def answered(asked: DataFrame, answer, schema: str, level: int) -> DataFrame:
         dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
-        return written(dealt.mapInArrow(frugal(answer), ddl(schema)), folder, name).withColumn("level", F.lit(level))
+        return dealt.mapInArrow(frugal(answer), ddl(schema)).withColumn("level", F.lit(level))
 
     def met(replies: DataFrame, ask, schema: str) -> DataFrame:
-        return blocks.drop("counts", "trained").groupBy("block").cogroup(replies.select("block", "level", "shard", "body").groupBy("block")).applyInArrow(ask, ddl(schema))
+        return blocks.drop("counts", "trained").groupBy("block").cogroup(replies.select("block", "level", "shard", "body").groupBy("block")).applyInArrow(_freed(ask), ddl(schema))
 
-    words = answered(blocks.select("block", "v", "words", "counts").mapInArrow(frugal(_ask_words(shard_bits)), ddl(_ASK)), _answer_words(shard_bits), _WORDS, "words", 1)
+    words = answered(blocks.select("block", "v", "words", "counts").mapInArrow(frugal(_ask_words(shard_bits)), ddl(_ASK)), _answer_words(shard_bits), _WORDS, 1)
+    words = written(words, folder, "words")
     total, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
     words = words.where("body is not null")
-    pairs = answered(met(words, _ask_pairs(shard_bits, total, distinct, texts), _ASK), _answer_ngrams(2, mass), _REPLY, "pairs", 2)
-    triples = answered(met(pairs, _ask_triples(shard_bits, texts), _ASK), _answer_ngrams(3, mass), _REPLY, "triples", 3)
+    pairs = answered(met(words, _ask_pairs(shard_bits, total, distinct, texts), _ASK), _answer_ngrams(2, mass), _REPLY, 2)
+    triples = answered(met(pairs, _ask_triples(shard_bits, texts), _ASK), _answer_ngrams(3, mass), _REPLY, 3)
     scored = met(words.select("block", "level", "shard", "body").unionByName(triples.select("block", "level", "shard", "body")), _score(shard_bits, total, distinct, texts), _SCORE)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
