@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 PLACE_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
 
 
@@ -35,7 +37,8 @@ def keyed(df: DataFrame, folder: str, name: str, **more: Column) -> DataFrame:
     buckets = min(100_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # The catalog only names the bucketing; the files are below the shared folder and stay when the name is given up.
     own = f"sievestone_{uuid.uuid4().hex}"
-    rows.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(buckets, "pid").saveAsTable(own)
+    with tidy(spark):
+        rows.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(buckets, "pid").saveAsTable(own)
     out = spark.table(own)
     spark.sql(f"DROP TABLE {own}")
     return out

@@ -36,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, lower_ascii, mix, release, row_bounds, span_hashes, text_buffer, text_slices, word_spans, work_folder, written
-from .elias_fano import CHILD_BITS, STEP, EliasFano, Trie, quantise, restore
+from .common import frugal, lower_ascii, mix, release, row_bounds, span_hashes, text_buffer, text_slices, tidy, word_spans, work_folder, written
+from .elias_fano import CHILD_BITS, EliasFano, Trie, logarithms, quantise, restore
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 14 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARD_BITS = 6
+#: A shard is worked through in so many ranges of contexts, which bounds its memory.
+RANGES = 4
 #: Beyond so many shuffle partitions, one works through several shards in turn.
 MOST_PARTITIONS = 1 << 16
 MASS = 8.0
@@ -273,34 +275,50 @@ def _answer_ngrams(level: int, mass: float):
         c, n, d = np.frombuffer(body[:12], "<u4").tolist()
         left, fanout, totals, right, codes, place, counts = _stretch(body[12:], (f"V{wide}", c), ("<u4", c), ("<u8", c), (f"V{CHILD_BITS // 8}", d), ("<u2", d if level == 2 else n), ("<u4", n), ("<u4", n))
         left, right = _wide(left, wide), _wide(right, CHILD_BITS // 8)
-        return left, fanout.astype(np.int64), totals, right[place], codes[place] if level == 2 else codes, counts
+        return left, fanout.astype(np.int64), totals, right[place].astype(np.uint32), codes[place] if level == 2 else codes, counts
+
+    def looked_up(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and counts of all n-grams of some messages, in their order, from the trie of those that were seen."""
+        lefts, fanouts, totals, children, lowers, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(children):
+            return np.zeros(0, np.uint16), np.zeros(0)
+        contexts, back = np.unique(lefts, return_inverse=True)
+        if len(contexts) >= 1 << (64 - CHILD_BITS):
+            raise ValueError("a shard has too many contexts")
+        rank = np.repeat(back, fanouts)
+        keys, of = np.unique((rank.astype(np.uint64) << np.uint64(CHILD_BITS)) | children, return_inverse=True)
+        context, child = (keys >> np.uint64(CHILD_BITS)).astype(np.int64), keys & np.uint64((1 << CHILD_BITS) - 1)
+        count = np.bincount(of, counts, len(keys))
+        total = np.zeros(len(contexts))
+        total[back] = totals
+        low = np.zeros(len(keys), np.uint16)
+        low[of] = lowers
+        backed_off = mass * restore(low) / (total[context] + mass)
+        seen = np.flatnonzero(count)
+        trie = Trie(contexts[context[seen]], child[seen], backed_off[seen] + count[seen] / (total[context[seen]] + mass), CONTEXT_BITS[level])
+        codes, known = trie.find(contexts, context, child)
+        codes[~known] = quantise(backed_off[~known])
+        return codes[of], count[of]
+
+    cuts = [np.uint64(k * (1 << CONTEXT_BITS[level]) // RANGES) for k in range(RANGES)] + [np.uint64(1 << CONTEXT_BITS[level])]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
             parts = [unpacked(r[2]) for r in held]
-            sizes = [len(x[3]) for x in parts]
-            lefts, fanouts, totals, children, lowers, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            contexts, back = np.unique(lefts, return_inverse=True)
-            if len(contexts) >= 1 << (64 - CHILD_BITS):
-                raise ValueError("a shard has too many contexts")
-            rank = np.repeat(back, fanouts)
-            keys, of = np.unique((rank.astype(np.uint64) << np.uint64(CHILD_BITS)) | children, return_inverse=True)
-            context, child = (keys >> np.uint64(CHILD_BITS)).astype(np.int64), keys & np.uint64((1 << CHILD_BITS) - 1)
-            count = np.bincount(of, counts, len(keys))
-            total = np.zeros(len(contexts))
-            total[back] = totals
-            low = np.zeros(len(keys), np.uint16)
-            low[of] = lowers
-            backed_off = mass * restore(low) / (total[context] + mass)
-            seen = np.flatnonzero(count)
-            trie = Trie(contexts[context[seen]], child[seen], backed_off[seen] + count[seen] / (total[context[seen]] + mass), CONTEXT_BITS[level])
-            codes, known = trie.find(contexts, context, child)
-            codes[~known] = quantise(backed_off[~known])
-            got, end, rows = codes[of], 0, []
-            for r, size in zip(held, sizes, strict=True):
-                part = slice(end, end := end + size)
-                rows.append((r[1], r[0], _squeeze(got[part]) if level == 3 else _squeeze(got[part], count[of[part]].astype("<u8"))))
+            ends = [np.append(0, np.cumsum(x[1])) for x in parts]
+            found: list[list] = [[] for _ in held]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                spans = [np.searchsorted(x[0], (low, high)) for x in parts]
+                within = [(slice(*c), slice(e[c[0]], e[c[1]])) for c, e in zip(spans, ends, strict=True)]
+                got, count = looked_up([(x[0][c], x[1][c], x[2][c], x[3][n], x[4][n], x[5][n]) for x, (c, n) in zip(parts, within, strict=True)])
+                end = 0
+                for k, (_, n) in enumerate(within):
+                    part = slice(end, end := end + n.stop - n.start)
+                    found[k].append((got[part], count[part]))
+            rows = []
+            for r, x in zip(held, found, strict=True):
+                codes, counts = (np.concatenate(c) for c in zip(*x, strict=True))
+                rows.append((r[1], r[0], _squeeze(codes) if level == 3 else _squeeze(codes, counts.astype("<u8"))))
             yield _batch(rows, _REPLY)
 
     return answer
@@ -380,7 +398,7 @@ def _score(shard_bits: int, total: int, distinct: int, texts: int):
             raise ValueError("a block's answers don't fit its triples")
         base = np.log10((counts + 1) / (total + distinct + 1))
         n = len(block.sizes)
-        sums = [np.bincount(block.row, x, n) for x in (base[block.token], codes[of] * (-np.log10(2) / STEP), counts[block.token] > 0)]
+        sums = [np.bincount(block.row, x, n) for x in (base[block.token], (logarithms(np.arange(1 << 16)) * np.log10(2))[codes][of], counts[block.token] > 0)]
         return pa.table([pa.array(block.ids, mask=block.null.astype(bool)), pa.array(block.train == 0), pa.array(block.sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names)
 
     return score
@@ -388,7 +406,8 @@ def _score(shard_bits: int, total: int, distinct: int, texts: int):
 
 def _bucketed(df: DataFrame, folder: str, name: str, buckets: int) -> DataFrame:
     own, spark = f"sievestone_{uuid.uuid4().hex}", df.sparkSession
-    df.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(buckets, "block").saveAsTable(own)
+    with tidy(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(buckets, "block").saveAsTable(own)
     out = spark.table(own)
     spark.sql(f"DROP TABLE {own}")  # the files stay
     return out
@@ -410,13 +429,12 @@ def language_model_scores(docs: DataFrame, train: Column, mass: float = MASS, sh
 
     def answered(asked: DataFrame, answer, schema: str, level: int) -> DataFrame:
         dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard")
-        return dealt.mapInArrow(frugal(answer), ddl(schema)).withColumn("level", F.lit(level))
+        return written(dealt.mapInArrow(frugal(answer), ddl(schema)), folder, f"level-{level}").withColumn("level", F.lit(level))
 
     def met(replies: DataFrame, ask, schema: str) -> DataFrame:
         return blocks.drop("counts", "trained").groupBy("block").cogroup(replies.select("block", "level", "shard", "body").groupBy("block")).applyInArrow(_freed(ask), ddl(schema))
 
     words = answered(blocks.select("block", "v", "words", "counts").mapInArrow(frugal(_ask_words(shard_bits)), ddl(_ASK)), _answer_words(shard_bits), _WORDS, 1)
-    words = written(words, folder, "words")
     total, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
     words = words.where("body is not null")
     pairs = answered(met(words, _ask_pairs(shard_bits, total, distinct, texts), _ASK), _answer_ngrams(2, mass), _REPLY, 2)
