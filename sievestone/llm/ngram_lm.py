@@ -43,13 +43,15 @@ BLOCK_BYTES = 14 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARD_BITS = 6
 #: A shard is worked through in so many ranges of contexts, which bounds its memory.
-RANGES = 4
+RANGES = 2
 #: Beyond so many shuffle partitions, one works through several shards in turn.
 MOST_PARTITIONS = 1 << 16
 MASS = 8.0
 END, BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 #: Bits of a context in a shard, and bytes that carry them, by level.
 CONTEXT_BITS = {2: 40, 3: 32}
+#: The probability of each code.
+P = restore(np.arange(1 << 16))
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -101,7 +103,7 @@ class Block:
         v, n, m = row["v"], row["n"], row["m"]
         self.words = _wide(_stretch(row["words"], ("V8", v))[0], 8)
         (self.token,) = _stretch(row["tokens"], ("<u4", m))
-        self.token = self.token.astype(np.int64)
+        self.token = self.token.view("<i4")
         self.sizes, self.ids, self.null, self.train = _stretch(row["texts"], ("<i8", n), ("<i8", n), ("u1", n), ("u1", n))
         self.row = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         self.weight = self.train[self.row]
@@ -114,10 +116,26 @@ class Block:
         and each token's n-gram."""
         a, b = (shard_bits + 1) // 2, shard_bits // 2
         left, right = ((x >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(x), np.int64) for x, k in ((hashes, a), (self.words, b)))
-        key = (((left[context] << b) | right[self.token]) * len(hashes) + context) * self.v + self.token
-        keys, of = np.unique(key, return_inverse=True)
-        rest = keys // self.v
-        return (rest // len(hashes)).astype(np.int32), (rest % len(hashes)).astype(np.int32), (keys % self.v).astype(np.int32), of.astype(np.int32)
+        # In place, as these are the largest arrays.
+        key = left[context]
+        key <<= b
+        key |= right[self.token]
+        key *= len(hashes)
+        key += context
+        key *= self.v
+        key += self.token
+        order = np.argsort(key)
+        key = key[order]
+        first = np.append(True, key[1:] != key[:-1])
+        of = np.empty(len(key), np.int32)
+        of[order] = np.cumsum(first, dtype=np.int32) - 1
+        del order
+        key = key[first]
+        word = (key % self.v).astype(np.int32)
+        key //= self.v
+        shard = (key // len(hashes)).astype(np.int32)
+        key %= len(hashes)
+        return shard, key.astype(np.int32), word, of
 
     def pairs(self, shard_bits: int):
         context = np.empty_like(self.token)
@@ -135,7 +153,8 @@ class Block:
         context = np.empty_like(self.token)
         context[1:] = of[:-1]
         context[self.first] = len(left)
-        return hashes[order], order, *self._asked(shard_bits, hashes[order], rank[context])
+        hashes = hashes[order]
+        return hashes, order, *self._asked(shard_bits, hashes, rank.astype(np.int32)[context])
 
 
 _BLOCK = "block long, v int, n int, m int, words binary, counts binary, tokens binary, texts binary, trained long"
@@ -293,7 +312,7 @@ def _answer_ngrams(level: int, mass: float):
         total[back] = totals
         low = np.zeros(len(keys), np.uint16)
         low[of] = lowers
-        backed_off = mass * restore(low) / (total[context] + mass)
+        backed_off = mass * P[low] / (total[context] + mass)
         seen = np.flatnonzero(count)
         trie = Trie(contexts[context[seen]], child[seen], backed_off[seen] + count[seen] / (total[context[seen]] + mass), CONTEXT_BITS[level])
         codes, known = trie.find(contexts, context, child)
