@@ -39,11 +39,11 @@ from pyspark.sql import types as T
 from .common import frugal, lower_ascii, mix, release, row_bounds, span_hashes, text_buffer, text_slices, tidy, word_spans, work_folder, written
 from .elias_fano import CHILD_BITS, EliasFano, Trie, logarithms, quantise, restore
 
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 15 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARD_BITS = 6
 #: A shard is worked through in so many ranges of contexts, which bounds its memory.
-RANGES = 2
+RANGES = 8
 #: Beyond so many shuffle partitions, one works through several shards in turn.
 MOST_PARTITIONS = 1 << 16
 MASS = 8.0
@@ -102,8 +102,8 @@ class Block:
     def __init__(self, row: dict):
         v, n, m = row["v"], row["n"], row["m"]
         self.words = _wide(_stretch(row["words"], ("V8", v))[0], 8)
-        (self.token,) = _stretch(row["tokens"], ("<u4", m))
-        self.token = self.token.view("<i4")
+        rank, order = _stretch(row["tokens"], ("<u4", m), ("<u4", v))
+        self.token = order.view("<i4")[rank]
         self.sizes, self.ids, self.null, self.train = _stretch(row["texts"], ("<i8", n), ("<i8", n), ("u1", n), ("u1", n))
         self.row = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         self.weight = self.train[self.row]
@@ -180,13 +180,18 @@ def _cut(block_bytes: int):
             words, local = np.unique(np.append(tokens, BEGIN), return_inverse=True)
             counts = np.bincount(local[:-1], np.repeat(train, sizes), len(words)).astype("<u4")
             ids = whole.column("doc_id")
+            order = np.argsort(-np.bincount(local[:-1], minlength=len(words)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(words), "<u4")
+            rank[order] = np.arange(len(words))
             texts = _squeeze(sizes.astype("<i8"), ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy().astype("u1"), train)
-            values = [number, len(words), n, len(tokens), _squeeze(_thin(words, 8)), _squeeze(counts), _squeeze(local[:-1].astype("<u4")), texts, int(train.sum())]
+            values = [number, len(words), n, len(tokens), _squeeze(_thin(words, 8)), _squeeze(counts), _squeeze(rank[local[:-1]], order.astype("<u4")), texts, int(train.sum())]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
 
         for batch in batches:
-            for part in text_slices(batch, limit=block_bytes):
+            # Blocks of even size: small ones repeat more.
+            even = -(-batch.column("text").nbytes // max(1, -(-batch.column("text").nbytes // block_bytes)))
+            for part in text_slices(batch, limit=min(block_bytes, even + even // 16)):
                 more = part.column("text").nbytes
                 if held and size + more > block_bytes:
                     yield block(held)
@@ -294,7 +299,7 @@ def _answer_ngrams(level: int, mass: float):
         c, n, d = np.frombuffer(body[:12], "<u4").tolist()
         left, fanout, totals, right, codes, place, counts = _stretch(body[12:], (f"V{wide}", c), ("<u4", c), ("<u8", c), (f"V{CHILD_BITS // 8}", d), ("<u2", d if level == 2 else n), ("<u4", n), ("<u4", n))
         left, right = _wide(left, wide), _wide(right, CHILD_BITS // 8)
-        return left, fanout.astype(np.int64), totals, right[place].astype(np.uint32), codes[place] if level == 2 else codes, counts
+        return left, fanout, totals, right[place].astype(np.uint32), codes[place] if level == 2 else codes, counts
 
     def looked_up(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """Codes and counts of all n-grams of some messages, in their order, from the trie of those that were seen."""
@@ -324,6 +329,7 @@ def _answer_ngrams(level: int, mass: float):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
             parts = [unpacked(r[2]) for r in held]
+            held = [r[:2] for r in held]
             ends = [np.append(0, np.cumsum(x[1])) for x in parts]
             found: list[list] = [[] for _ in held]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
