@@ -330,7 +330,7 @@ def _answer_ngrams(level: int, mass: float):
         for held in _held(batches):
             parts = [unpacked(r[2]) for r in held]
             held = [r[:2] for r in held]
-            ends = [np.append(0, np.cumsum(x[1])) for x in parts]
+            ends = [np.append(0, np.cumsum(x[1], dtype=np.int64)) for x in parts]
             found: list[list] = [[] for _ in held]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 spans = [np.searchsorted(x[0], (low, high)) for x in parts]
