@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import frugal, lower_ascii, mix, release, row_bounds, span_hashes, text_buffer, text_slices, tidy, word_spans, work_folder, written
 from .elias_fano import CHILD_BITS, EliasFano, Trie, logarithms, quantise, restore
 
-BLOCK_BYTES = 15 << 20
+BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARD_BITS = 6
 #: A shard is worked through in so many ranges of contexts, which bounds its memory.
@@ -59,7 +59,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def _stretch(raw: bytes, *shapes: tuple[str, int]) -> list[np.ndarray]:
