@@ -116,26 +116,32 @@ class Block:
         and each token's n-gram."""
         a, b = (shard_bits + 1) // 2, shard_bits // 2
         left, right = ((x >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(x), np.int64) for x, k in ((hashes, a), (self.words, b)))
-        # In place, as these are the largest arrays.
-        key = left[context]
-        key <<= b
-        key |= right[self.token]
-        key *= len(hashes)
-        key += context
-        key *= self.v
-        key += self.token
-        order = np.argsort(key)
-        key = key[order]
-        first = np.append(True, key[1:] != key[:-1])
-        of = np.empty(len(key), np.int32)
-        of[order] = np.cumsum(first, dtype=np.int32) - 1
-        del order
-        key = key[first]
-        word = (key % self.v).astype(np.int32)
-        key //= self.v
-        shard = (key // len(hashes)).astype(np.int32)
-        key %= len(hashes)
-        return shard, key.astype(np.int32), word, of
+        # A group of words at a time, in the order of shards (first the word's bits, then the context's): sorting needs the
+        # largest arrays of all.
+        coarse = max(0, b - 3)
+        group = (right >> coarse).astype(np.int8)[self.token]
+        of, shards, contexts, words, done = np.empty(len(self.token), np.int32), [], [], [], 0
+        for g in range(1 << (b - coarse)):
+            at = np.flatnonzero(group == g)
+            key = right[self.token[at]]
+            key <<= a
+            key |= left[context[at]]
+            key *= len(hashes)
+            key += context[at]
+            key *= self.v
+            key += self.token[at]
+            order = np.argsort(key)
+            key = key[order]
+            first = np.append(True, key[1:] != key[:-1])[: len(key)]
+            of[at[order]] = np.cumsum(first, dtype=np.int32) + np.int32(done - 1)
+            key = key[first]
+            done += len(key)
+            words.append((key % self.v).astype(np.int32))
+            key //= self.v
+            shards.append((key // len(hashes)).astype(np.int32))
+            key %= len(hashes)
+            contexts.append(key.astype(np.int32))
+        return *(np.concatenate(x) for x in (shards, contexts, words)), of
 
     def pairs(self, shard_bits: int):
         context = np.empty_like(self.token)
