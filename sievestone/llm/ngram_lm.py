@@ -40,6 +40,7 @@ from .common import frugal, lower_ascii, mix, release, row_bounds, span_hashes,
 from .elias_fano import CHILD_BITS, EliasFano, Trie, logarithms, quantise, restore
 
 BLOCK_BYTES = 12 << 20
+PART_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARD_BITS = 6
 #: A shard is worked through in so many ranges of contexts, which bounds its memory.
@@ -175,34 +176,37 @@ def _cut(block_bytes: int):
         number = TaskContext.get().partitionId() << 24
         held, size = [], 0
 
-        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole = pa.Table.from_batches(parts).combine_chunks()
-            data, offs = text_buffer(whole.column("text").combine_chunks() if whole.num_rows else pa.array([], pa.string()))
-            n, train = whole.num_rows, whole.column("train").to_numpy().astype(np.uint8)
+        def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            data, offs = text_buffer(part.column("text"))
+            n, ids = part.num_rows, part.column("doc_id")
             starts, ends, rows = word_spans(data, offs)
             tokens = np.full(len(starts) + n, END, np.uint64)
             tokens[np.arange(len(starts)) + rows] = span_hashes(lower_ascii(data), starts, ends)
-            sizes = np.diff(row_bounds(rows, n)) + 1
+            return tokens, np.diff(row_bounds(rows, n)) + 1, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column("train").to_numpy(zero_copy_only=False).astype("u1")
+
+        def block(parts: list) -> pa.RecordBatch:
+            tokens, sizes, ids, null, train = (np.concatenate(x) for x in zip(*parts, strict=True))
             words, local = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-            counts = np.bincount(local[:-1], np.repeat(train, sizes), len(words)).astype("<u4")
-            ids = whole.column("doc_id")
-            order = np.argsort(-np.bincount(local[:-1], minlength=len(words)), kind="stable")  # frequent words get small numbers
+            local = local[:-1]
+            counts = np.bincount(local, np.repeat(train, sizes), len(words)).astype("<u4")
+            order = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(words), "<u4")
             rank[order] = np.arange(len(words))
-            texts = _squeeze(sizes.astype("<i8"), ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy().astype("u1"), train)
-            values = [number, len(words), n, len(tokens), _squeeze(_thin(words, 8)), _squeeze(counts), _squeeze(rank[local[:-1]], order.astype("<u4")), texts, int(train.sum())]
+            texts = _squeeze(sizes.astype("<i8"), ids.astype("<i8"), null.astype("u1"), train)
+            values = [number, len(words), len(sizes), len(tokens), _squeeze(_thin(words, 8)), _squeeze(counts), _squeeze(rank[local], order.astype("<u4")), texts, int(train.sum())]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
 
         for batch in batches:
-            # Blocks of even size: small ones repeat more.
-            even = -(-batch.column("text").nbytes // max(1, -(-batch.column("text").nbytes // block_bytes)))
-            for part in text_slices(batch, limit=min(block_bytes, even + even // 16)):
+            # Blocks of even size, as small ones repeat more; words are hashed a small part at a time.
+            whole = batch.column("text").nbytes
+            even = -(-whole // max(1, -(-whole // block_bytes)))
+            for part in text_slices(batch, limit=min(block_bytes, PART_BYTES)):
                 more = part.column("text").nbytes
-                if held and size + more > block_bytes:
+                if held and size + more > min(block_bytes, even + PART_BYTES):
                     yield block(held)
                     held, size, number = [], 0, number + 1
-                held.append(part)
+                held.append(tokens_of(part))
                 size += more
         if held:
             yield block(held)
