@@ -29,16 +29,24 @@ def partition_of(number: str = "id") -> Column:
     return F.shiftright(number, PLACE_BITS).cast("int")
 
 
+def _buckets(df: DataFrame) -> int:
+    """As many as shuffles have partitions, and not fewer than the scans below df make of their files (where Spark knows their
+    size), so that a bucket stays of a task's size; Spark allows 100,000."""
+    conf, leaves = df.sparkSession._jsparkSession.sessionState().conf(), df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < conf.defaultSizeInBytes())
+    return max(1, min(100_000, max(conf.numShufflePartitions(), -(-size // conf.filesMaxPartitionBytes()))))
+
+
 def keyed(df: DataFrame, folder: str, name: str, **more: Column) -> DataFrame:
     """df as `row` (a struct, so that no column's name can clash), with `id`, a unique long, and `pid`, its partition; and
     further columns, computed once."""
     spark = df.sparkSession
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("pid"), *[c.alias(k) for k, c in more.items()])
-    buckets = min(100_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # The catalog only names the bucketing; the files are below the shared folder and stay when the name is given up.
     own = f"sievestone_{uuid.uuid4().hex}"
     with tidy(spark):
-        rows.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(buckets, "pid").saveAsTable(own)
+        rows.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{name}").bucketBy(_buckets(df), "pid").saveAsTable(own)
     out = spark.table(own)
     spark.sql(f"DROP TABLE {own}")
     return out

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievestone.llm import elias_fano, exact_dedup, language_id, near_dedup, ngram_lm, packing, pieces, quality_classifier, quality_rules, queries, url_filter, warc
+from sievestone.llm import elias_fano, exact_dedup, language_id, ledger, near_dedup, ngram_lm, packing, pieces, quality_classifier, quality_rules, queries, url_filter, warc
 from sievestone.llm.components import components
 from sievestone.llm.common import crc_mod, span_hashes, table, word_spans, work_folder
 
@@ -620,6 +620,25 @@ def test_exact_dedup_moves_suspects_only(spark, tmp_path):
     assert suspects.count() == 200
 
 
+def test_ledger_buckets_follow_the_input(spark):
+    """Few shuffle partitions don't make large buckets; rows of unknown size get as many as shuffles have partitions."""
+    docs, names = table(spark, SF, "documents"), ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, value in zip(names, ("16k", "2"), strict=True):
+            spark.conf.set(n, value)
+        scanned, found = docs.rdd.getNumPartitions(), ledger._buckets(docs)
+        kept = ledger.keyed(docs, work_folder(spark), "ledger")
+        assert 2 < scanned <= found <= 2 * scanned
+        met = ledger.marked(kept, ledger.bitmaps(kept.where("row.doc_id < 50").select("id")))
+        assert f"{found} out of {found}" in met._jdf.queryExecution().toString()
+        assert met.where("hit").count() == docs.where("doc_id < 50").count() and met.count() == docs.count()
+        assert ledger._buckets(spark.createDataFrame([(1, "a")], "doc_id long, text string")) == 2
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+
+
 @pytest.mark.parametrize("n", [0, 1, 50, 5000])
 def test_rice_round_trip(n):
     values = np.unique(np.random.default_rng(n).integers(0, 1 << 48, n).astype(np.uint64))
