@@ -34,6 +34,9 @@ from .common import frugal, work_folder, written
 LEAST = 100
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 18
+#: Bytes of archives that a partition reads back.
+READ_BYTES = 16 << 20
+MOST_PARTITIONS = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 #: Characters of a url that can't stand in a header.
 UNFIT = r"[\x00-\x20\x7f]"
@@ -214,9 +217,12 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, with_payload:
                 if rows:
                     yield _records(rows)
 
-    spans = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))  # an archive's size is bounded
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/kind=members").select(F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{path}/kind=members")
+    size = files.agg(F.sum("length")).first()[0] or 0  # from the listing; no archive is read
+    parts = max(1, min(MOST_PARTITIONS, -(-size // READ_BYTES)))
     # Archives move once to meet their spans, the same at any size; no side is sorted or sent to all.
+    files = files.select(F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive"), "content").repartition(parts, "archive")
+    spans = index.repartition(parts, "archive").groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))  # an archive's size is bounded
     return files.join(spans.hint("shuffle_hash"), "archive").select("content", "spans").mapInArrow(frugal(read), T.StructType.fromDDL(_RECORD))
 
 
