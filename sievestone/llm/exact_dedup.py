@@ -33,7 +33,7 @@ from .common import frugal, work_folder, written
 from .ledger import PLACE_BITS, WORDS, bitmaps, keyed, marked, words_of
 
 BITS = 48
-ROWS_PER_OWNER = 1 << 18
+ROWS_PER_OWNER = 1 << 20
 LEAST_OWNERS = 64
 #: Beyond so many shuffle partitions, one works through several owners in turn.
 MOST_PARTITIONS = 1 << 16
